@@ -3,13 +3,13 @@
 Documents are sets of word shingles, hashed to 64 bits. The join has four parts:
 
 1. Equal sets collapse to one representative each (the smallest doc_id).
-2. Tokens in a fixed order, rare before frequent, give each set a prefix that any linked set must share a token of.
-   Sets that share no prefix token with another set are done.
+2. Tokens in a fixed order, rare before frequent, give each set a prefix; linked sets share at least l tokens of their
+   prefixes (l grows with the set). Sets that share no prefix token with another set are done.
 3. Similar documents form groups: documents with the same min-hash are compared with the group's smallest document, and
    verified links join them to components, which are cut into groups of bounded size.
-4. A token-group matrix (prefix token, group) finds, for each document, the groups outside its own component that it
-   could be linked to. Each such group's token union bounds the overlap; only groups that reach the threshold are
-   opened, and their documents compared exactly.
+4. A token-group matrix holds the union of each group's prefix tokens. Its equi-join with a document's prefix tokens
+   counts the overlap with each group outside the document's component, which bounds the overlap with every member;
+   only groups whose bound reaches l are opened, and their documents compared exactly.
 
 Documents of one component need no further comparison, so a group of a million near copies gives a million rows and
 not their pairs, while every link between components is found.
@@ -17,6 +17,8 @@ not their pairs, while every link between components is found.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -28,21 +30,42 @@ from .common import Shared, stash
 MIN_HASHES = 4
 #: Documents in a group of the matrix.
 GROUP = 16
+#: A set of n tokens must share n // SHARE + 1 tokens of its prefix with a linked set, which lengthens the prefix so far.
+SHARE = 24
 #: Frequent tokens that the order knows by name; all others count as equally rare.
-KNOWN_FREQUENT = 100_000
+KNOWN_FREQUENT = 200_000
 _ODD = (np.random.default_rng(20240229).integers(1 << 62, size=32, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-class _Words(dict):
-    def __init__(self, seed: int):
-        super().__init__()
-        self.seed = seed
+_BLOCK = 1 << 20
+
+
+@lru_cache(maxsize=4)
+def _tables(seed: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte a random number, A-Z like a-z; powers of an odd base; powers of its inverse (all modulo 2**64)."""
+    rng = np.random.default_rng([seed, 5])
+    values = rng.integers(1 << 63, size=256, dtype=np.uint64)
+    values[65:91] = values[97:123]
+    base = int(rng.integers(1 << 62)) * 4 + 3
+    powers = lambda b: np.multiply.accumulate(np.r_[np.uint64(1), np.full(length, b % (1 << 64), dtype=np.uint64)])
+    return values, powers(base), powers(pow(base, -1, 1 << 64))
+
+
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word, self.seed)
-        return out
+def _word_hashes(raw: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each word of UTF-8 bytes: differences of the running sums of a polynomial, moved to a common start."""
+    white = _WHITE[raw]
+    edges = np.flatnonzero(np.diff(white, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    values, powers, inverse = _tables(seed, max(_BLOCK, 1 << (len(raw) - 1).bit_length()))
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(values[raw] * powers[: len(raw)], out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -51,17 +74,25 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str | None, words: _Words, k: int = 5) -> np.ndarray:
+def shingles(text: str | None, seed: int = 0, k: int = 5) -> np.ndarray:
     """Sorted hashes of the distinct k-word shingles; with fewer words, of the whole sequence; empty without words."""
-    tokens = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z change, only ASCII white space splits
-    if not tokens:
+    raw = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
+    parts, at = [], 0
+    while at < len(raw):  # blocks end at white space
+        end = min(len(raw), at + _BLOCK)
+        while end < len(raw) and not _WHITE[raw[end]]:
+            end += 1
+        parts.append(_word_hashes(raw[at:end], seed))
+        at = end
+    h = parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, dtype=np.uint64), *parts])
+    if not len(h):
         return np.zeros(0, dtype=np.int64)
-    h = np.fromiter(map(words.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     n = min(k, len(h))
     total = np.full(len(h) - n + 1, n, dtype=np.uint64)
     for j in range(n):
-        total += _mixed(h[j : len(h) - n + 1 + j] * _ODD[j])
-    return np.unique(_mixed(total).view(np.int64))
+        total += h[j : len(h) - n + 1 + j] * _ODD[j]
+    found = np.sort(_mixed(total).view(np.int64))
+    return found[np.r_[True, found[1:] != found[:-1]]]
 
 
 def _digest(s: np.ndarray, seed: int) -> tuple[int, int]:
@@ -76,18 +107,17 @@ def _signatures(documents: DataFrame, k: int, seed: int) -> DataFrame:
     """Per document: size, two digests of the set, min-hashes. And rows without doc_id: tokens frequent in a task (dg), -count."""
 
     def run(batches):
-        words = _Words(seed)
         gathered, size, docs = [], 0, 0
 
         def frequent():
             tokens, counts = np.unique(np.concatenate(gathered), return_counts=True) if gathered else (np.zeros(0, np.int64),) * 2
-            often = counts >= max(16, docs // 200)
+            often = counts >= max(3, docs // 1000)
             return pd.DataFrame({"doc_id": pd.array([None] * int(often.sum()), dtype="Int64"), "n": -counts[often], "dg": tokens[often], "d2": 0} | {f"m{i}": 0 for i in range(MIN_HASHES)})
 
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                s = shingles(text, words, k)
+                s = shingles(text, seed, k)
                 u = s.view(np.uint64)
                 dg, d2 = _digest(s, seed)
                 out.append((doc_id, len(s), dg, d2, *((u * _ODD[8 + i]).min().view(np.int64) if len(s) else 0 for i in range(MIN_HASHES))))
@@ -105,24 +135,24 @@ def _signatures(documents: DataFrame, k: int, seed: int) -> DataFrame:
 
 
 def _prefixes(documents: DataFrame, k: int, seed: int, percent: int, frequent: pd.DataFrame) -> DataFrame:
-    """token, dg, n: the prefix tokens of each set, once a task for equal sets."""
+    """token, dg, n, rest: the prefix tokens of each set, once a task for equal sets; rest: tokens from it on, itself too."""
     order = np.argsort(frequent["dg"].to_numpy(np.int64))
     shared = Shared(documents.sparkSession, (frequent["dg"].to_numpy(np.int64)[order], frequent["n"].to_numpy(np.int64)[order]))
 
     def run(batches):
         known, counts = shared.value
-        words, seen = _Words(seed), set()
+        seen = set()
         for batch in batches:
-            tokens, ids, sizes = [], [], []
+            tokens, ids, sizes, rests = [], [], [], []
             for text in batch["text"]:
-                s = shingles(text, words, k)
+                s = shingles(text, seed, k)
                 dg = _digest(s, seed)[0]
                 if not len(s) or dg in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(dg)
-                keep = len(s) - -(-percent * len(s) // 100) + 1
+                keep = len(s) - -(-percent * len(s) // 100) + 1 + len(s) // SHARE
                 size = len(s)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -131,19 +161,19 @@ def _prefixes(documents: DataFrame, k: int, seed: int, percent: int, frequent: p
                 tokens.append(s[:keep])
                 ids.append(np.full(keep, dg))
                 sizes.append(np.full(keep, size, dtype=np.int32))
+                rests.append(np.arange(size, size - keep, -1, dtype=np.int32))
             if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "dg": np.concatenate(ids), "n": np.concatenate(sizes)})
+                yield pd.DataFrame({"token": np.concatenate(tokens), "dg": np.concatenate(ids), "n": np.concatenate(sizes), "rest": np.concatenate(rests)})
 
-    return _rows(documents, run, "token long, dg long, n int")
+    return _rows(documents, run, "token long, dg long, n int, rest int")
 
 
 def _sets(documents: DataFrame, k: int, seed: int) -> DataFrame:
     def run(batches):
-        words = _Words(seed)
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.iloc[i : i + 500]
-                found = [shingles(t, words, k) for t in part["text"]]
+                found = [shingles(t, seed, k) for t in part["text"]]
                 yield pd.DataFrame({"rep": part["doc_id"], "dg": [_digest(x, seed)[0] for x in found], "s": found})
 
     return _rows(documents, run, "rep long, dg long, s array<long>")
@@ -196,9 +226,10 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     frequent = found.where("doc_id is null").groupBy("dg").agg((-F.sum("n")).alias("n")).orderBy(F.desc("n"), "dg").limit(KNOWN_FREQUENT).toArrow().to_pandas()
     tokens = _prefixes(documents, k, seed, percent, frequent)
     tokens = stash(tokens.withColumn("several", _several(tokens, "dg")).where("several").drop("several").distinct(), "matrix")
-    active = per_set.join(tokens.select("dg").distinct(), "dg", "left_semi")
-    active = stash(active, "active")
-    tokens = stash(tokens.join(active.select("dg", "rep"), "dg").select("token", "rep", "n"), "tokens")
+    # a linked set has l tokens or more that another set has too, by the smaller of the two sizes
+    often = tokens.groupBy("dg").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= 1 + F.floor(percent * F.col("n") / (100 * SHARE)))
+    active = stash(per_set.join(often.select("dg"), "dg", "left_semi"), "active")
+    tokens = stash(tokens.join(active.select("dg", "rep"), "dg").select("token", "rep", "n", "rest"), "tokens")
     texts = documents.join(active.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = _sets(texts, k, seed).join(active.select("rep", "dg"), ["rep", "dg"], "left_semi")
     sets = stash(sets.dropDuplicates(["rep", "dg"]).select("rep", "s"), "sets")
@@ -217,17 +248,19 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     of = stash(of.join(sizes, "c").select("rep", "n", "c", part.alias("part")), "groups")
 
     # the matrix's tokens that several components share, and the documents that could be linked across
-    cells = tokens.select("token", "rep").join(of, "rep")
+    cells = tokens.select("token", "rep", "rest").join(of, "rep")
     cells = stash(cells.withColumn("several", _several(cells, "c")).where("several").drop("several"), "cells")
-    matrix = cells.groupBy("token", "c", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = matrix.select("token", F.col("c").alias("gc"), F.col("part").alias("gp"), "least", "most")
+    matrix = cells.groupBy("token", "c", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("left"))
+    matrix = matrix.select("token", F.col("c").alias("gc"), F.col("part").alias("gp"), "least", "most", "left")
+    # sizes that can't link, and tokens that can't be the first common one of a link, go
     fits = (F.col("gc") < F.col("c")) & (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
-    asked = stash(cells.join(matrix, "token").where(fits).select("rep", "n", "gc", "gp").distinct(), "asked")
-    members = of.select(F.col("c").alias("gc"), F.col("part").alias("gp"), F.col("rep").alias("b"))
-    opened = members.join(asked.select("gc", "gp").distinct(), ["gc", "gp"], "left_semi")
-    unions = opened.join(sets.select(F.col("rep").alias("b"), F.col("s")), "b").groupBy("gc", "gp").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("u"))
-    bounded = asked.join(sets, "rep").join(unions, ["gc", "gp"]).where(100 * F.size(F.array_intersect("s", "u")) >= percent * F.col("n")).select("rep", "gc", "gp")
-    across = bounded.join(members, ["gc", "gp"]).select(F.col("b").alias("a"), F.col("rep").alias("b"))
+    fits &= (100 + percent) * F.least("rest", "left") >= percent * (F.col("n") + F.col("least"))
+    possible = cells.join(matrix, "token").where((F.col("gc") < F.col("c")) & (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
+    shared = possible.groupBy("rep", "n", "gc", "gp").agg(F.count("*").alias("k"), F.min("least").alias("least"), F.max(fits.cast("int")).alias("fits"))
+    enough = (F.col("fits") == 1) & (F.col("k") >= 1 + F.floor(F.least("n", "least") / SHARE))
+    asked = stash(shared.where(enough).select("rep", "n", "gc", "gp"), "asked")
+    members = of.select(F.col("c").alias("gc"), F.col("part").alias("gp"), F.col("rep").alias("b"), F.col("n").alias("m"))
+    across = asked.join(members, ["gc", "gp"]).where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("b").alias("a"), F.col("rep").alias("b"))
     more = stash(_verified(across, sets, percent), "links")
     linked = grouped.select(F.col("c").alias("a"), F.col("id").alias("b")).where("a < b").union(more)
     final = components(linked)
