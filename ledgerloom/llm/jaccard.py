@@ -174,9 +174,26 @@ def _sets(documents: DataFrame, k: int, seed: int) -> DataFrame:
             for i in range(0, len(batch), 500):
                 part = batch.iloc[i : i + 500]
                 found = [shingles(t, seed, k) for t in part["text"]]
-                yield pd.DataFrame({"rep": part["doc_id"], "dg": [_digest(x, seed)[0] for x in found], "s": found})
+                yield pd.DataFrame({"rep": part["doc_id"], "s": found})
 
-    return _rows(documents, run, "rep long, dg long, s array<long>")
+    return _rows(documents, run, "rep long, s array<long>")
+
+
+def _with_ids(documents: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
+    """Documents whose doc_id is among ids. A bit table of fixed size spares most others the shuffle of their texts."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)).cast("int")
+    found = ids.select(place(F.col("doc_id").cast("long")).alias("b")).distinct().toArrow().to_pandas()["b"].to_numpy()
+    table = np.zeros(1 << bits, dtype=bool)
+    table[found] = True
+    shared = Shared(documents.sparkSession, np.packbits(table))
+
+    def run(batches):
+        own = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            yield batch[own[batch["_b"]]].drop(columns="_b")
+
+    near = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", place(F.col("doc_id").cast("long")).alias("_b")).mapInPandas(run, "doc_id long, text string")
+    return near.join(ids, "doc_id", "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -230,15 +247,15 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     often = tokens.groupBy("dg").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= 1 + F.floor(percent * F.col("n") / (100 * SHARE)))
     active = stash(per_set.join(often.select("dg"), "dg", "left_semi"), "active")
     tokens = stash(tokens.join(active.select("dg", "rep"), "dg").select("token", "rep", "n", "rest"), "tokens")
-    texts = documents.join(active.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = _sets(texts, k, seed).join(active.select("rep", "dg"), ["rep", "dg"], "left_semi")
-    sets = stash(sets.dropDuplicates(["rep", "dg"]).select("rep", "s"), "sets")
+    texts = _with_ids(documents, active.select(F.col("rep").alias("doc_id")))
+    sets = stash(_sets(texts, k, seed), "sets")
 
     # groups of similar documents: each min-hash's smallest document against the others
     stars = None
     for i in range(MIN_HASHES):
-        heads = active.groupBy(f"m{i}").agg(F.min("rep").alias("a"), F.count("*").alias("x")).where("x > 1").drop("x")
-        pairs = active.join(heads, f"m{i}").where("a < rep").select("a", F.col("rep").alias("b"))
+        heads = active.groupBy(f"m{i}").agg(F.min(F.struct("rep", "n")).alias("h"), F.count("*").alias("x")).where("x > 1").select(f"m{i}", F.col("h.rep").alias("a"), F.col("h.n").alias("m"))
+        similar = (F.col("a") < F.col("rep")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        pairs = active.join(heads, f"m{i}").where(similar).select("a", F.col("rep").alias("b"))
         stars = pairs if stars is None else stars.union(pairs)
     links = stash(_verified(stars.distinct(), sets, percent), "links")
     grouped = components(links)
@@ -255,10 +272,12 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     # sizes that can't link, and tokens that can't be the first common one of a link, go
     fits = (F.col("gc") < F.col("c")) & (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
     fits &= (100 + percent) * F.least("rest", "left") >= percent * (F.col("n") + F.col("least"))
-    possible = cells.join(matrix, "token").where((F.col("gc") < F.col("c")) & (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
-    shared = possible.groupBy("rep", "n", "gc", "gp").agg(F.count("*").alias("k"), F.min("least").alias("least"), F.max(fits.cast("int")).alias("fits"))
-    enough = (F.col("fits") == 1) & (F.col("k") >= 1 + F.floor(F.least("n", "least") / SHARE))
-    asked = stash(shared.where(enough).select("rep", "n", "gc", "gp"), "asked")
+    asked = stash(cells.join(matrix, "token").where(fits).select("rep", "n", "gc", "gp").distinct(), "asked")
+    own = cells.groupBy("rep").agg(F.collect_list("token").alias("t"))
+    unions = matrix.groupBy("gc", "gp").agg(F.collect_list("token").alias("u"), F.min("least").alias("least"))
+    bound = F.size(F.array_intersect("t", "u"))
+    asked = asked.join(own, "rep").join(unions, ["gc", "gp"]).where(bound >= 1 + F.floor(F.least("n", "least") / SHARE)).select("rep", "n", "gc", "gp")
+    asked = stash(asked, "opened")
     members = of.select(F.col("c").alias("gc"), F.col("part").alias("gp"), F.col("rep").alias("b"), F.col("n").alias("m"))
     across = asked.join(members, ["gc", "gp"]).where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("b").alias("a"), F.col("rep").alias("b"))
     more = stash(_verified(across, sets, percent), "links")
