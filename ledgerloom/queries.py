@@ -1,5 +1,154 @@
-"""Registered queries of the ledger engine and their DuckDB SQL."""
+"""Registered queries of the ledger engine over the test tables, and their DuckDB SQL.
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+The ledger is made of orders: the order's day is the date, open orders are expenses and the others income, the
+customer is the merchant and the priority the category.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import pii, rules
+from .operators import ledger as ops
+
+FLAGSHIP = "agg_monthly"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    amount = F.when(F.col("o_orderstatus") == "O", -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
+    return o.select(F.col("o_orderkey").alias("txn_id"), F.to_date("o_orderdate").alias("date"), amount.alias("amount"), F.concat(F.lit("m"), F.col("o_custkey").cast("string")).alias("merchant"), F.col("o_orderpriority").alias("category"))
+
+
+LEDGER_SQL = """WITH ledger AS (SELECT o_orderkey AS txn_id, o_orderdate::DATE AS date,
+  CASE WHEN o_orderstatus = 'O' THEN -o_totalprice ELSE o_totalprice END AS amount,
+  'm' || o_custkey::VARCHAR AS merchant, o_orderpriority AS category,
+  (isodow(o_orderdate::DATE) - 1)::INTEGER AS weekday, month(o_orderdate)::INTEGER AS month,
+  year(o_orderdate)::INTEGER AS year, week(o_orderdate)::INTEGER AS week FROM orders)
+"""
+TOTALS = """count(*) AS n, round(coalesce(sum(amount) FILTER (amount > 0), 0), 2) AS income,
+  round(coalesce(sum(-amount) FILTER (amount < 0), 0), 2) AS expenses, round(coalesce(sum(amount), 0), 2) AS net"""
+#: Descriptions to classify: words of a part's name, and statement words chosen by its key.
+# Statement texts of the fixture.
+TEXTS = ("COMPRA EN MERCADONA", "PAGO CON TARJETA EN ZARA MADRID", "NOMINA JULIO", "TRASPASO CUENTA", "RECIBO DE LUZ ENDESA", "TRANSFERENCIA DE PEPE", "BAR LA PLAZA", "PLAN DE PENSIONES", "CAJERO 1234567890123", "DEVOLUCION AMAZON", "GITHUB SUBSCRIPTION", "TAXI ****1234")
+
+
+def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    text = F.concat(F.get(F.array(*(F.lit(t) for t in TEXTS)), (F.col("p_partkey") % len(TEXTS)).cast("int")), F.lit(" "), F.col("p_brand"))
+    return p.select(F.col("p_partkey").alias("id"), text.alias("description"), F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice")).otherwise(-F.col("p_retailprice")).alias("amount"))
+
+
+def _on_ledger(f):
+    return lambda spark, sf_dir: f(ledger(spark, sf_dir))
+
+
+def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descriptions(spark, sf_dir).select("id", rules.clean_description(F.col("description")).alias("cleaned"), rules.categorise(F.col("description"), F.col("amount")).alias("category"))
+
+
+def _merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descriptions(spark, sf_dir).select("id", rules.merchant(F.col("description")).alias("merchant"))
+
+
+def _categories_sql() -> str:
+    texts = ", ".join(f"'{t}'" for t in TEXTS)
+    cleaned = "regexp_replace(description, '^\\s+|\\s+$', '', 'g')"
+    for p in rules.CLEANING:
+        cleaned = f"regexp_replace({cleaned}, '{p}', '', 'g')"
+    cleaned = f"regexp_replace({cleaned}, '\\s+', ' ', 'g')"
+    keys = " ".join(f"WHEN contains(low, '{k}') THEN '{v}'" for k, v in rules.KEYWORDS)
+    patterns = " ".join(f"WHEN regexp_matches(lower(cleaned), '{p}') THEN '{v}'" for v, p in rules.PATTERNS)
+    return f"""WITH d AS (SELECT p_partkey AS id, ([{texts}])[(p_partkey % {len(TEXTS)})::INTEGER + 1] || ' ' || p_brand AS description,
+  CASE WHEN p_size % 2 = 0 THEN p_retailprice ELSE -p_retailprice END AS amount FROM part),
+c AS (SELECT id, amount, lower(description) AS low, {cleaned} AS cleaned FROM d)
+SELECT id, cleaned, CASE WHEN contains(low, 'plan de pensiones') AND amount < 0 THEN 'Savings'
+  WHEN contains(low, 'plan de pensiones') AND amount > 0 THEN 'Income' {keys}
+  WHEN amount > 0 AND NOT contains(low, 'devolucion') THEN 'Income' {patterns} ELSE 'Other' END AS category FROM c"""
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", pii.entity_counts(F.col("text")).alias("entities"), F.md5(pii.mask(F.col("text"))).alias("masked_md5"))
+
+
+def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    query = e.where("vec_id = 0").select("embedding").first()[0]
+    return ops.cosine_topk(e, query)
+
+
+def _degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    return ops.degrees(line.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")))
+
+
+def _spanish_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    shown = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
+    return o.select("o_orderkey", rules.spanish_decimal(shown).alias("amount"))
+
+
+def _event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.to_date("w.start").alias("day"), "event_type", "n", "total")
+
+
+_SPENT = LEDGER_SQL + "SELECT "
+_PAIRS = {
+    "agg_statistics": (ops.statistics, f"SELECT {TOTALS}, round(coalesce(avg(-amount) FILTER (amount < 0), 0), 2) AS mean_expense, round(coalesce(max(-amount) FILTER (amount < 0), 0), 2) AS max_expense, round(coalesce(max(amount) FILTER (amount > 0), 0), 2) AS max_income FROM ledger"),
+    "agg_expense_by_category": (ops.expense_by_category, "SELECT category, round(sum(-amount), 2) AS spent FROM ledger WHERE amount < 0 GROUP BY category"),
+    "agg_category_shares": (ops.category_shares, "SELECT category, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM ledger GROUP BY category"),
+    "agg_merchant_profiles": (ops.merchant_profiles, """, g AS (SELECT merchant, count(*) AS n, round(sum(-amount), 2) AS spent, min(date) AS first, max(date) AS last, count(DISTINCT category) AS categories, round(arg_max(-amount, (date, txn_id)), 2) AS last_amount, round(avg(-amount), 6) AS mean FROM ledger WHERE amount < 0 GROUP BY merchant HAVING count(*) >= 2)
+      SELECT *, CASE WHEN last_amount > 1.2 * mean THEN 'rising' WHEN last_amount < 0.8 * mean THEN 'falling' ELSE 'stable' END AS trend FROM g"""),
+    "agg_weekday_spend": (ops.weekday_spend, "SELECT weekday, count(*) AS n, round(sum(-amount), 2) AS spent FROM ledger WHERE amount < 0 GROUP BY weekday"),
+    "agg_daily": (ops.daily, f"SELECT date, {TOTALS} FROM ledger GROUP BY date HAVING count(*) >= 2"),
+    "agg_weekly": (ops.weekly, f'SELECT year, week, {TOTALS}, min(date) AS start, max(date) AS "end" FROM ledger GROUP BY year, week HAVING count(*) >= 4'),
+    "agg_monthly": (ops.monthly, f""", g AS (SELECT year, month, {TOTALS}, count(DISTINCT merchant) AS merchants FROM ledger GROUP BY year, month)
+      SELECT *, CASE WHEN income > 1.1 * expenses THEN 'surplus' WHEN income > expenses THEN 'balanced' ELSE 'deficit' END AS health, round(expenses / 30, 2) AS avg_daily FROM g"""),
+    "agg_month_distribution": (ops.month_distribution, """, g AS (SELECT year, month, category, sum(-amount) AS s FROM ledger WHERE amount < 0 GROUP BY ALL)
+      SELECT year, month, category, round(s, 2) AS spent, round(100.0 * s / sum(s) OVER (PARTITION BY year, month), 4) AS percent, (row_number() OVER (PARTITION BY year, month ORDER BY s DESC, category))::INTEGER AS rank FROM g"""),
+    "agg_peak_weekday": (ops.peak_weekday, ", g AS (SELECT category, weekday, round(sum(-amount), 2) AS s FROM ledger WHERE amount < 0 GROUP BY ALL) SELECT category, arg_max(weekday, (s, -weekday)) AS peak_weekday FROM g GROUP BY category"),
+    "agg_heaviest_day": (ops.heaviest_day, ", g AS (SELECT year, month, date, round(sum(amount), 2) AS s FROM ledger WHERE amount < 0 GROUP BY ALL) SELECT year, month, arg_min(date, (s, date)) AS day, -min(s) AS spent FROM g GROUP BY year, month"),
+    "agg_high_amounts": (ops.high_amounts, "SELECT txn_id, merchant, round(-amount, 2) AS spent FROM ledger WHERE amount < 0 AND -amount > (SELECT avg(-amount) + 3.0 * stddev_samp(-amount) FROM ledger WHERE amount < 0)"),
+    "win_new_merchants": (ops.new_merchants, ", f AS (SELECT *, row_number() OVER (PARTITION BY merchant ORDER BY date, txn_id) AS r FROM ledger) SELECT merchant, txn_id, date, round(abs(amount), 2) AS size FROM f WHERE r = 1 AND abs(amount) > 2.0 * (SELECT avg(-amount) FROM ledger WHERE amount < 0)"),
+    "win_running_balance": (ops.running_balance, ", g AS (SELECT date, sum(amount) AS s FROM ledger GROUP BY date) SELECT date, round(sum(s) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 2) AS balance FROM g"),
+    "win_visits": (ops.visits, "SELECT txn_id, merchant, (row_number() OVER w)::INTEGER AS visit, date_diff('day', lag(date) OVER w, date)::INTEGER AS days_since FROM ledger WINDOW w AS (PARTITION BY merchant ORDER BY date, txn_id)"),
+    "win_running_category": (ops.running_category, "SELECT txn_id, month, category, round(sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) OVER (PARTITION BY month, category ORDER BY date, txn_id ROWS UNBOUNDED PRECEDING), 2) AS so_far FROM ledger"),
+    "win_recurrence": (ops.recurrence, """, g AS (SELECT merchant, date_diff('day', lag(date) OVER (PARTITION BY merchant ORDER BY date, txn_id), date) AS d FROM ledger WHERE amount < 0),
+      h AS (SELECT merchant, count(*) AS intervals, round(avg((d BETWEEN 28 AND 32)::INTEGER), 6) AS monthly, round(avg((d BETWEEN 6 AND 8)::INTEGER), 6) AS weekly FROM g WHERE d IS NOT NULL GROUP BY merchant)
+      SELECT *, CASE WHEN weekly >= 0.6 THEN 'weekly' WHEN monthly >= 0.6 THEN 'monthly' ELSE 'none' END AS kind FROM h"""),
+    "win_week_change": (ops.week_change, """, g AS (SELECT year, week, round(coalesce(sum(-amount) FILTER (amount < 0), 0), 2) AS expenses FROM ledger GROUP BY year, week), h AS (SELECT *, lag(expenses) OVER (ORDER BY year, week) AS before FROM g)
+      SELECT *, CASE WHEN expenses > 1.2 * before THEN 'up' WHEN expenses < 0.8 * before THEN 'down' WHEN before IS NOT NULL THEN 'steady' END AS band FROM h"""),
+    "top_merchants_by_week": (ops.top_merchants_by_week, ", g AS (SELECT year, week, merchant, round(sum(-amount), 2) AS spent FROM ledger WHERE amount < 0 GROUP BY ALL), h AS (SELECT *, (row_number() OVER (PARTITION BY year, week ORDER BY spent DESC, merchant))::INTEGER AS rank FROM g) SELECT * FROM h WHERE rank <= 3"),
+    "prj_identifiers": (ops.identifiers, "SELECT txn_id, substr(md5(strftime(date, '%Y-%m-%d') || '|' || merchant || '|' || txn_id::VARCHAR), 1, 12) AS chunk_id, printf('weekly_%d_w%02d', year, week) AS week_id, strftime(date, '%d/%m/%Y') AS shown FROM ledger"),
+    "cls_amount_bands": (ops.amount_bands, ", g AS (SELECT *, round(avg(abs(amount)) OVER (PARTITION BY merchant), 2) AS typical FROM ledger) SELECT txn_id, typical, CASE WHEN abs(amount) > 1.5 * typical THEN 'high' WHEN abs(amount) < 0.5 * typical THEN 'low' ELSE 'typical' END AS band, day(date) >= 25 AS month_end FROM g"),
+    "prj_calendar": (lambda df: ops.calendar(df).select("txn_id", "weekday", "month", "year", "week", "is_weekend", "is_income"), "SELECT txn_id, weekday, month, year, week, weekday >= 5 AS is_weekend, amount > 0 AS is_income FROM ledger"),
+    "chk_months": (ops.month_chunks, None),
+}
+
+QUERIES = {name: _on_ledger(f) for name, (f, _) in _PAIRS.items()} | {
+    "cls_categories": _categories,
+    "cls_merchants": _merchants,
+    "pii_masked_documents": _masked,
+    "vec_cosine_topk": _cosine,
+    "gra_degrees": _degrees,
+    "prj_spanish_amounts": _spanish_amounts,
+    "agg_event_windows": _event_windows,
+}
+
+ORACLES = {name: LEDGER_SQL + sql for name, (_, sql) in _PAIRS.items() if sql} | {
+    "cls_categories": _categories_sql(),
+    "vec_cosine_topk": """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
+      s AS (SELECT vec_id, list_sum(list_transform(generate_series(1, len(e)), lambda i: embedding[i]::DOUBLE * e[i]::DOUBLE)) AS d,
+        list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS a, list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE)) AS b FROM embeddings, q)
+      SELECT vec_id, round(d / sqrt(a * b), 6) AS score FROM s ORDER BY d / sqrt(a * b) DESC, vec_id LIMIT 10""",
+    "gra_degrees": "WITH e AS (SELECT DISTINCT 'p' || l_partkey::VARCHAR AS src, 's' || l_suppkey::VARCHAR AS dst FROM lineitem), b AS (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) SELECT id, count(*) AS degree FROM b GROUP BY id",
+    "prj_spanish_amounts": "SELECT o_orderkey, round(o_totalprice, 2) AS amount FROM orders",
+    "agg_event_windows": "SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+}
