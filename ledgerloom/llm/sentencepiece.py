@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+import zlib
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -31,7 +32,7 @@ from .common import Shared, pieces_of, stash
 SPACE = "▁"
 _UNITS = re.compile(r" +[^ ]*")
 #: A dictionary of up to so many segments is broadcast; a larger one is dealt to blocks of documents by a join.
-BROADCAST_SEGMENTS = 6_000_000
+BROADCAST_SEGMENTS = 4_000_000
 #: Longer segments aren't folded.
 FOLD_CHARS = 96
 #: Characters of documents in a block.
@@ -123,16 +124,31 @@ def units(text: str) -> list[str]:
     return _UNITS.findall(" " + text) if text else []
 
 
-def segments(unit: str, joints: frozenset[str]) -> list[str]:
-    """A unit (spaces as the space mark) cut between characters that no piece has side by side."""
-    unit = unit.replace(" ", SPACE)
-    out, start = [], 0
-    for i in range(1, len(unit)):
-        if unit[i - 1 : i + 1] not in joints:
-            out.append(unit[start:i])
-            start = i
-    out.append(unit[start:])
-    return out
+class Cutter:
+    """Cuts units (spaces become the space mark) between characters that no piece has side by side."""
+
+    def __init__(self, joints: frozenset[str]):
+        chars = sorted({c for j in joints for c in j})
+        self.place = np.zeros(0x110000, dtype=np.int32)
+        self.place[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joined = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
+        for a, b in joints:
+            self.joined[self.place[ord(a)], self.place[ord(b)]] = True
+
+    def cut(self, found: list[str]) -> list[list[str]]:
+        """The segments of each unit."""
+        text = "".join(found).replace(" ", SPACE)
+        if not text:
+            return [[] for _ in found]
+        at = self.place[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        inner = ~self.joined[at[:-1], at[1:]]
+        edges = np.cumsum([0, *map(len, found)])
+        inner[edges[1:-1] - 1] = True
+        cuts = np.r_[0, np.flatnonzero(inner) + 1, len(text)]
+        at = cuts.tolist()
+        parts = [text[a:b] for a, b in zip(at, at[1:], strict=False)]
+        where = np.searchsorted(cuts, edges).tolist()
+        return [parts[a:b] for a, b in zip(where, where[1:], strict=False)]
 
 
 def _distinct_segments(documents: DataFrame, joints: frozenset[str], block: bool = False) -> DataFrame:
@@ -140,36 +156,29 @@ def _distinct_segments(documents: DataFrame, joints: frozenset[str], block: bool
     shared = Shared(documents.sparkSession, joints)
 
     def run(batches):
-        joined = shared.value
-        sent: set = set()
-        words: set = set()
+        cutter = Cutter(shared.value)
+        words: dict = {}
+        sent: dict = {}
         for batch in batches:
-            fresh = set()
-            for row in batch.itertuples(index=False):
-                at = row.block if block else None
-                for unit in set(units(row.text or "")):
-                    key = (at, unit) if block else unit
-                    if key in words:
-                        continue
-                    words.add(key)
-                    for s in segments(unit, joined):
-                        s = (at, s) if block else s
-                        if s not in sent:
-                            sent.add(s)
-                            fresh.add(s)
-                if len(words) > 500_000:
-                    words.clear()
-                if len(sent) > 500_000:
-                    sent.clear()
-            if fresh:
-                yield pd.DataFrame(list(fresh), columns=["block", "segment"]) if block else pd.DataFrame({"segment": list(fresh)})
+            for part in pieces_of(batch, ["text"], 1_000_000):
+                for at in set(part["block"]) if block else [None]:
+                    texts = part["text"][part["block"] == at] if block else part["text"]
+                    fresh = set().union(*(units(t or "") for t in texts)) - words.setdefault(at, set())
+                    words[at] |= fresh
+                    found = {s for parts in cutter.cut(list(fresh)) for s in parts} - sent.setdefault(at, set())
+                    sent[at] |= found
+                    if found:
+                        yield pd.DataFrame({"block": at, "segment": list(found)} if block else {"segment": list(found)})
+                for kept in (words, sent):
+                    if sum(map(len, kept.values())) > 300_000:
+                        kept.clear()
 
     if block:
         return documents.select("block", "text").mapInPandas(run, "block long, segment string").distinct()
     found = documents.select("text").mapInPandas(run, "segment string")
     # a number of its own: the segments are few megabytes, but the lattice multiplies them
     tasks = max(4 * documents.sparkSession.sparkContext.defaultParallelism, documents.rdd.getNumPartitions())
-    return found.repartition(tasks, "segment").distinct()
+    return stash(found.repartition(tasks, "segment").distinct(), "distinct").repartition(tasks, "segment")
 
 
 def _spans(found: DataFrame, table: PieceTable, least: int) -> DataFrame:
@@ -312,44 +321,65 @@ def encode_one(segment: str, table: PieceTable, pieces: dict[str, tuple[int, flo
     return [i for p in reversed(parts) for i in ([pieces[p][0]] if p in pieces else _unknown(p, table))]
 
 
-class _Lookup(dict):
-    """unit -> packed ids; a bounded cache over `find`, which gives a segment's packed ids."""
+class _Encoder:
+    """Texts to packed ids; a bounded cache of units over `find`, which gives the packed ids of many segments."""
 
     def __init__(self, joints: frozenset[str], find):
-        super().__init__()
-        self.joints, self.find = joints, find
+        self.cutter, self.find, self.known = Cutter(joints), find, {}
 
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) > 400_000:
-            self.clear()
-        self[unit] = out = b"".join(map(self.find, segments(unit, self.joints)))
-        return out
+    def encode(self, texts) -> list[bytes]:
+        found = [units(t or "") for t in texts]
+        if len(self.known) > 200_000:
+            self.known.clear()
+        fresh = list(set().union(*found).difference(self.known))
+        cut = self.cutter.cut(fresh)
+        parts = list({s for x in cut for s in x})
+        ids = dict(zip(parts, self.find(parts), strict=True))
+        for unit, x in zip(fresh, cut, strict=True):
+            self.known[unit] = b"".join(map(ids.__getitem__, x))
+        return [b"".join(map(self.known.__getitem__, x)) for x in found]
 
 
 def _hash(segment: str) -> tuple[int, int]:
     return struct.unpack("<qq", xxhash.xxh128(segment.encode("utf-8", "replace")).digest())
 
 
-def _packed(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A dictionary without objects: the segments' hashes (sorted), a second hash each, offsets, and all ids."""
-    hashes = np.array([_hash(s) for s in frame["segment"]], dtype=np.int64).reshape(-1, 2)
-    order = np.argsort(hashes[:, 0], kind="stable")
-    raw = frame["ids"].to_numpy()[order]
-    ends = np.cumsum([0, *(len(r) for r in raw)], dtype=np.int64)
-    return hashes[order, 0], hashes[order, 1], ends, np.frombuffer(b"".join(raw), dtype=np.uint8)
+def _hashed(dictionary: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            h = np.array([_hash(s) for s in batch["segment"]], dtype=np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"a": h[:, 0], "b": h[:, 1], "ids": batch["ids"]})
+
+    return dictionary.mapInPandas(run, "a long, b long, ids binary")
+
 
+def _packed(found) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """A dictionary without objects, from an Arrow table: hashes in order, halves of second hashes, offsets, all ids."""
+    import pyarrow as pa
 
-def _finder(packed):
-    first, second, ends, ids = packed
+    a, b = found["a"].to_numpy(), found["b"].to_numpy()
+    order = np.argsort(a, kind="stable")
+    ids = found["ids"].cast(pa.large_binary()).combine_chunks()
+    ids = (pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) and ids.num_chunks else ids).take(pa.array(order))
+    _, offsets, data = ids.buffers() if len(ids) else (None, None, None)
+    ends = np.frombuffer(offsets, dtype=np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    kind = np.uint32 if ends[-1] < 1 << 32 else np.int64
+    return a[order], b[order].astype(np.int32), ends.astype(kind), data.to_pybytes() if data else b""
 
-    def find(segment: str) -> bytes:
-        a, b = _hash(segment)
-        i = int(np.searchsorted(first, a))
-        while i < len(first) and first[i] == a and second[i] != b:
-            i += 1
-        if i >= len(first) or first[i] != a:
-            raise KeyError(segment)
-        return ids[ends[i] : ends[i + 1]].tobytes()
+
+def _finder(packed):
+    first, second, offsets, raw = packed
+
+    def find(parts: list[str]) -> list[bytes]:
+        if not parts:
+            return []
+        h = np.array([_hash(s) for s in parts], dtype=np.int64).reshape(-1, 2)
+        at = np.minimum(np.searchsorted(first, h[:, 0]), max(0, len(first) - 1))
+        while (other := (first[at] == h[:, 0]) & (second[at] != h[:, 1].astype(np.int32))).any():
+            at[other] += 1
+        if (first[at] != h[:, 0]).any():
+            raise KeyError(parts[int(np.flatnonzero(first[at] != h[:, 0])[0])])
+        return [raw[s:e] for s, e in zip(offsets[at].tolist(), offsets[at + 1].tolist(), strict=True)]
 
     return find
 
@@ -365,31 +395,33 @@ def _with_bytes(dictionary: DataFrame) -> DataFrame:
     return dictionary.select(*(f.name for f in dictionary.schema.fields if f.name != "ids"), "ids").mapInPandas(run, f"{fields}, ids binary")
 
 
-def encode(documents: DataFrame, table: PieceTable, packed: bool = False, broadcast_segments: int = BROADCAST_SEGMENTS) -> DataFrame:
+def encode(documents: DataFrame, table: PieceTable, packed: bool = False, broadcast_segments: int = BROADCAST_SEGMENTS, finish=None, shape: str | None = None) -> DataFrame:
     """doc_id and ids of every document's whole text (array<int>; packed: little-endian 32-bit integers as binary).
 
     Null and empty texts have no ids. Rows with null or repeated doc_ids are encoded like any other; further columns
     are not read. The dictionary of distinct segments is broadcast while it has at most broadcast_segments rows;
-    beyond that, documents are dealt to blocks and each block gets the segments that it needs by a join.
+    beyond that, documents are dealt to blocks and each block gets the segments that it needs by a join. finish, if
+    given, turns a list of packed ids into columns (shape: their schema) in the same task.
     """
     joints = table.joints()
     kind = documents.schema["doc_id"].dataType.simpleString()
-    shape = "ids binary" if packed else "ids array<int>"
+    shape = shape or ("ids binary" if packed else "ids array<int>")
+    finish = finish or (lambda ids: {"ids": ids if packed else [np.frombuffer(i, dtype="<i4") for i in ids]})
     dictionary = stash(encode_segments(_distinct_segments(documents, joints), table), "segments")
     joined = Shared(documents.sparkSession, joints)
 
-    def rows(batch, lookup):
-        for part in pieces_of(batch, ["text"], 2_000_000):
-            ids = [b"".join(map(lookup.__getitem__, units(t or ""))) for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "ids": ids if packed else [np.frombuffer(i, dtype="<i4") for i in ids]})
+    def rows(batch, encoder):
+        for part in pieces_of(batch, ["text"], 1_000_000):
+            ids = encoder.encode(part["text"])
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()} | finish(ids)).astype({"doc_id": part["doc_id"].dtype})
 
     if dictionary.count() <= broadcast_segments:
-        shared = Shared(documents.sparkSession, _packed(dictionary.toArrow().to_pandas()))
+        shared = documents.sparkSession.sparkContext.broadcast(_packed(_hashed(dictionary).toArrow()))
 
         def run(batches):
-            lookup = _Lookup(joined.value, _finder(shared.value))
+            encoder = _Encoder(joined.value, _finder(shared.value))
             for batch in batches:
-                yield from rows(batch, lookup)
+                yield from rows(batch, encoder)
 
         return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {shape}")
 
@@ -399,8 +431,9 @@ def encode(documents: DataFrame, table: PieceTable, packed: bool = False, broadc
     needed = _distinct_segments(dealt, joints, block=True).join(dictionary, "segment")
 
     def run_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        lookup = _Lookup(joined.value, dict(zip(right["segment"], right["ids"], strict=True)).__getitem__)
-        return pd.concat([pd.DataFrame({"doc_id": [], "ids": []}), *rows(left, lookup)], ignore_index=True).astype({"doc_id": left["doc_id"].dtype})
+        known = dict(zip(right["segment"], right["ids"], strict=True))
+        encoder = _Encoder(joined.value, lambda parts: [known[x] for x in parts])
+        return pd.concat([pd.DataFrame({"doc_id": []} | finish([])), *rows(left, encoder)], ignore_index=True).astype({"doc_id": left["doc_id"].dtype})
 
     return dealt.groupBy("block").cogroup(needed.groupBy("block")).applyInPandas(run_block, f"doc_id {kind}, {shape}")
 
@@ -430,15 +463,10 @@ def decode(encoded: DataFrame, table: PieceTable) -> DataFrame:
 
 def round_trip(documents: DataFrame, table: PieceTable) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the packed ids) and text_crc32 (of the decoded text's UTF-8)."""
-    encoded = encode(documents, table, packed=True)
     texts = list(table.texts)
 
-    def run(batches):
-        import zlib
-
-        for batch in batches:
-            decoded = [b"".join(map(texts.__getitem__, np.frombuffer(x, dtype="<i4").tolist())).decode("utf-8", "replace").removeprefix(" ") for x in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_pieces": [len(x) // 4 for x in batch["ids"]], "ids_crc32": [zlib.crc32(x) for x in batch["ids"]], "text_crc32": [zlib.crc32(t.encode("utf-8", "replace")) for t in decoded]})
+    def finish(ids: list[bytes]) -> dict[str, list[int]]:
+        decoded = (b"".join(map(texts.__getitem__, np.frombuffer(x, dtype="<i4").tolist())).decode("utf-8", "replace").removeprefix(" ") for x in ids)
+        return {"n_pieces": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids], "text_crc32": [zlib.crc32(t.encode("utf-8", "replace")) for t in decoded]}
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInPandas(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, text_crc32 long")
+    return encode(documents, table, finish=finish, shape="n_pieces long, ids_crc32 long, text_crc32 long")
