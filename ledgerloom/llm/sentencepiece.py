@@ -14,9 +14,9 @@ encoded by the same rules in linear memory.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
-import struct
 import zlib
 from dataclasses import dataclass
 from functools import cached_property
@@ -121,7 +121,7 @@ def load_pieces(path: str) -> PieceTable:
 
 def units(text: str) -> list[str]:
     """The text with its dummy prefix, cut before each run of spaces; a word with the spaces before it is a unit."""
-    return _UNITS.findall(" " + text) if text else []
+    return _UNITS.findall(" " + text.replace(SPACE, " ")) if text else []
 
 
 class Cutter:
@@ -156,6 +156,7 @@ def _distinct_segments(documents: DataFrame, joints: frozenset[str], block: bool
     shared = Shared(documents.sparkSession, joints)
 
     def run(batches):
+        gc.disable()  # nothing here makes cycles, and the many small objects make collections slow
         cutter = Cutter(shared.value)
         words: dict = {}
         sent: dict = {}
@@ -340,14 +341,15 @@ class _Encoder:
         return [b"".join(map(self.known.__getitem__, x)) for x in found]
 
 
-def _hash(segment: str) -> tuple[int, int]:
-    return struct.unpack("<qq", xxhash.xxh128(segment.encode("utf-8", "replace")).digest())
+def _hashes(found) -> np.ndarray:
+    digest = xxhash.xxh128_digest
+    return np.frombuffer(b"".join([digest(s.encode("utf-8", "replace")) for s in found]), dtype=np.int64).reshape(-1, 2)
 
 
 def _hashed(dictionary: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            h = np.array([_hash(s) for s in batch["segment"]], dtype=np.int64).reshape(-1, 2)
+            h = _hashes(batch["segment"])
             yield pd.DataFrame({"a": h[:, 0], "b": h[:, 1], "ids": batch["ids"]})
 
     return dictionary.mapInPandas(run, "a long, b long, ids binary")
@@ -373,7 +375,7 @@ def _finder(packed):
     def find(parts: list[str]) -> list[bytes]:
         if not parts:
             return []
-        h = np.array([_hash(s) for s in parts], dtype=np.int64).reshape(-1, 2)
+        h = _hashes(parts)
         at = np.minimum(np.searchsorted(first, h[:, 0]), max(0, len(first) - 1))
         while (other := (first[at] == h[:, 0]) & (second[at] != h[:, 1].astype(np.int32))).any():
             at[other] += 1
@@ -419,6 +421,7 @@ def encode(documents: DataFrame, table: PieceTable, packed: bool = False, broadc
         shared = documents.sparkSession.sparkContext.broadcast(_packed(_hashed(dictionary).toArrow()))
 
         def run(batches):
+            gc.disable()
             encoder = _Encoder(joined.value, _finder(shared.value))
             for batch in batches:
                 yield from rows(batch, encoder)
