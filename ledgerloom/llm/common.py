@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 HELD_OUT = 2
 
 
+#: Rows in an Arrow batch: texts are long, and a worker holds a batch in several forms at once.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
