@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import pii, rules
+from .operators import graph, refine
 from .operators import ledger as ops
 
 FLAGSHIP = "agg_monthly"
@@ -99,6 +100,61 @@ def _event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.to_date("w.start").alias("day"), "event_type", "n", "total")
 
 
+def _refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions with their fallback category and a made-up confidence, as a model would give them."""
+    d = descriptions(spark, sf_dir)
+    return d.select("id", F.col("description"), "amount", F.col("description").alias("merchant"), refine.fallback_category(F.col("description"), F.col("amount")).alias("category"), (F.lit(0.5) + F.col("id") % 50 / 100).alias("confidence"))
+
+
+def _fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refined(spark, sf_dir).select("id", "category", refine.spanish_category(F.col("category")).alias("categoria"))
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refine.validate(_refined(spark, sf_dir)).select("id", "category", F.round("confidence", 6).alias("confidence"), "adjustments")
+
+
+def _validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refine.validity(_refined(spark, sf_dir))
+
+
+def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    seen = o.select(F.concat(F.lit(" M"), F.col("o_custkey").cast("string")).alias("name"), F.col("o_orderpriority").alias("category"), (F.col("o_orderkey") % 100 / 100).alias("confidence"), F.col("o_orderdate").alias("last_updated"))
+    return refine.upsert_memory(None, seen).select("key", "category", "confidence", "frequency")
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, nations and regions as a graph."""
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    return c.select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst")).unionByName(n.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst")))
+
+
+def _node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = descriptions(spark, sf_dir)
+    return d.select("id", graph.node_type(F.col("description")).alias("node_type"), graph.entity_type(F.col("description"), F.lit("person")).alias("entity_type"))
+
+
+def _cases(table: tuple, column: str, otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{v}'" for v, p in table) + f" ELSE {otherwise} END"
+
+
+def _refined_sql() -> str:
+    texts = ", ".join(f"'{t}'" for t in TEXTS)
+    return f"""WITH d AS (SELECT p_partkey AS id, ([{texts}])[(p_partkey % {len(TEXTS)})::INTEGER + 1] || ' ' || p_brand AS description,
+  CASE WHEN p_size % 2 = 0 THEN p_retailprice ELSE -p_retailprice END AS amount FROM part),
+r AS (SELECT id, description, amount, lower(description) AS low, CASE WHEN amount > 0 THEN 'Income' ELSE {_cases(refine.FALLBACK, "lower(description)", "'Other'")} END AS category, 0.5::DOUBLE + (id % 50) / 100.0::DOUBLE AS confidence FROM d)
+"""
+
+
+GRAPH_SQL = """, t AS (SELECT DISTINCT 'merchant:' || merchant AS m, 'category:' || category AS c, 'weekday:' || weekday::VARCHAR AS d FROM ledger),
+  e AS (SELECT m AS x, c AS y FROM t UNION SELECT m, d FROM t UNION SELECT c, d FROM t),
+  p AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM e), z AS (SELECT a AS id, b AS other FROM p UNION ALL SELECT b, a FROM p),
+  g AS (SELECT id, count(*) AS degree FROM z GROUP BY id)
+"""
+
+
 _SPENT = LEDGER_SQL + "SELECT "
 _PAIRS = {
     "agg_statistics": (ops.statistics, f"SELECT {TOTALS}, round(coalesce(avg(-amount) FILTER (amount < 0), 0), 2) AS mean_expense, round(coalesce(max(-amount) FILTER (amount < 0), 0), 2) AS max_expense, round(coalesce(max(amount) FILTER (amount > 0), 0), 2) AS max_income FROM ledger"),
@@ -130,6 +186,14 @@ _PAIRS = {
     "cls_amount_bands": (ops.amount_bands, ", g AS (SELECT *, round(avg(abs(amount)) OVER (PARTITION BY merchant), 2) AS typical FROM ledger) SELECT txn_id, typical, CASE WHEN abs(amount) > 1.5 * typical THEN 'high' WHEN abs(amount) < 0.5 * typical THEN 'low' ELSE 'typical' END AS band, day(date) >= 25 AS month_end FROM g"),
     "prj_calendar": (lambda df: ops.calendar(df).select("txn_id", "weekday", "month", "year", "week", "is_weekend", "is_income"), "SELECT txn_id, weekday, month, year, week, weekday >= 5 AS is_weekend, amount > 0 AS is_income FROM ledger"),
     "chk_months": (ops.month_chunks, None),
+    "prj_rag_records": (refine.rag_records, "SELECT txn_id, strftime(date, '%Y-%m-%d') AS fecha, abs(amount) AS importe, CASE WHEN amount < 0 THEN 'gasto' ELSE 'ingreso' END AS tipo, 'otros' AS categoria FROM ledger"),
+    "prj_compact_lines": (lambda df: df.select("txn_id", refine.compact_line(F.col("txn_id"), F.col("date"), F.col("merchant"), F.col("amount")).alias("line")), "SELECT txn_id, concat_ws('|', txn_id::VARCHAR, strftime(date, '%Y-%m-%d'), merchant, CASE WHEN amount > 0 THEN '+' ELSE '-' END || printf('€%.2f', abs(amount))) AS line FROM ledger"),
+    "emb_prepared": (lambda df: df.select("txn_id", refine.embedding_text(F.lit("categorical"), F.col("merchant"), F.col("category"), F.lit("")).alias("text")), "SELECT txn_id, '[' || category || '] ' || merchant AS text FROM ledger"),
+    "agg_embedding_cost": (lambda df: refine.embedding_cost(df, "merchant"), "SELECT count(*) AS chunks, sum(length(merchant))::BIGINT AS chars, sum(length(merchant)) / 4.0 AS tokens, round(sum(length(merchant)) / 4.0 / 1000 * 0.00002::DOUBLE, 8) AS cost FROM ledger"),
+    "gra_summary": (lambda df: graph.summary(graph.ledger_edges(df)), GRAPH_SQL + ", s AS (SELECT count(*) AS n, sum(degree)::BIGINT // 2 AS m FROM g) SELECT n, m, round(2.0::DOUBLE * m / (n * (n - 1)), 8) AS density FROM s"),
+    "gra_clustering": (lambda df: graph.clustering(graph.ledger_edges(df)), GRAPH_SQL + """, k AS (SELECT x.id, count(*) AS t FROM z x JOIN z y ON x.id = y.id AND x.other < y.other JOIN p ON p.a = x.other AND p.b = y.other GROUP BY x.id)
+      SELECT id, degree, coalesce(t, 0) AS triangles, CASE WHEN degree > 1 THEN round(2.0::DOUBLE * coalesce(t, 0) / (degree * (degree - 1)), 8) ELSE 0 END AS coefficient FROM g LEFT JOIN k USING (id)"""),
+    "gra_neighbours": (lambda df: graph.neighbours(graph.ledger_edges(df)), GRAPH_SQL + "SELECT id, count(*) AS degree, array_to_string(list_slice(list_sort(list(other)), 1, 3), ', ') AS first FROM z GROUP BY id"),
 }
 
 QUERIES = {name: _on_ledger(f) for name, (f, _) in _PAIRS.items()} | {
@@ -140,6 +204,12 @@ QUERIES = {name: _on_ledger(f) for name, (f, _) in _PAIRS.items()} | {
     "gra_degrees": _degrees,
     "prj_spanish_amounts": _spanish_amounts,
     "agg_event_windows": _event_windows,
+    "cls_fallback": _fallback,
+    "cls_validated": _validated,
+    "flt_validity": _validity,
+    "mem_upsert": _memory,
+    "gra_components": lambda spark, sf_dir: graph.components(_places(spark, sf_dir)),
+    "cls_node_types": _node_types,
 }
 
 ORACLES = {name: LEDGER_SQL + sql for name, (_, sql) in _PAIRS.items() if sql} | {
@@ -151,4 +221,14 @@ ORACLES = {name: LEDGER_SQL + sql for name, (_, sql) in _PAIRS.items() if sql} |
     "gra_degrees": "WITH e AS (SELECT DISTINCT 'p' || l_partkey::VARCHAR AS src, 's' || l_suppkey::VARCHAR AS dst FROM lineitem), b AS (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) SELECT id, count(*) AS degree FROM b GROUP BY id",
     "prj_spanish_amounts": "SELECT o_orderkey, round(o_totalprice, 2) AS amount FROM orders",
     "agg_event_windows": "SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+    "cls_fallback": _refined_sql() + "SELECT id, category, CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in refine.SPANISH.items()) + " ELSE 'otros' END AS categoria FROM r",
+    "cls_validated": _refined_sql() + """, v AS (SELECT *, contains(low, 'traspaso') AND category <> 'Internal Transfer' AS inner_move, category = 'Income' AND amount < 0 AS w1, category IN ('Savings', 'Taxes', 'Loan') AND amount > 0 AS w2 FROM r)
+      SELECT id, CASE WHEN inner_move THEN 'Internal Transfer' ELSE category END AS category, round(least(CASE WHEN inner_move THEN 0.9 ELSE confidence * CASE WHEN w1 THEN 0.7 ELSE 1 END * CASE WHEN w2 THEN 0.8 ELSE 1 END END, 0.95)::DOUBLE, 6) AS confidence,
+        concat_ws('; ', CASE WHEN w1 THEN 'Income usually positive' END, CASE WHEN w2 THEN category || ' usually negative' END, CASE WHEN inner_move THEN 'Detected as internal transfer' END) AS adjustments FROM v""",
+    "flt_validity": _refined_sql() + "SELECT count(*) AS n, count(*) > 0 AS is_valid, count(*) FILTER (category = 'Other') AS uncategorised, round(100.0 * count(*) FILTER (category = 'Other') / count(*), 4) AS percent, count(*) FILTER (category = 'Other') > 0.3 * count(*) AS warn FROM r",
+    "mem_upsert": """WITH s AS (SELECT 'm' || o_custkey::VARCHAR AS key, o_orderpriority AS category, (o_orderkey % 100) / 100.0::DOUBLE AS confidence, o_orderdate AS seen FROM orders)
+      SELECT key, arg_max(category, (seen, category, confidence)) AS category, arg_max(confidence, (seen, category, confidence)) AS confidence, count(*) AS frequency FROM s WHERE confidence > 0.6 GROUP BY key""",
+    "gra_components": """WITH v AS (SELECT 'c' || c_custkey::VARCHAR AS id, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'n' || n_nationkey::VARCHAR, n_regionkey FROM nation UNION ALL SELECT DISTINCT 'r' || n_regionkey::VARCHAR, n_regionkey FROM nation)
+      SELECT id, min(id) OVER (PARTITION BY r) AS component FROM v""",
+    "cls_node_types": _refined_sql() + f"SELECT id, {_cases(graph.NODE_WORDS, 'low', chr(39) + 'otros' + chr(39))} AS node_type, {_cases(graph.ENTITY_WORDS, 'low', chr(39) + 'PERSON' + chr(39))} AS entity_type FROM r",
 }
