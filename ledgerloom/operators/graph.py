@@ -54,7 +54,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def summary(edges: DataFrame) -> DataFrame:
     """One row: vertices, edges, density (0 under two vertices)."""
     pairs = canonical(edges)
-    counts = _ends(pairs).agg(F.countDistinct("id").alias("n")).crossJoin(F.broadcast(pairs.agg(F.count("*").alias("m"))))
+    counts = _ends(pairs).agg(F.countDistinct("id").alias("n"), (F.count("*") / 2).cast("long").alias("m"))
     return counts.withColumn("density", F.when(F.col("n") > 1, F.round(2.0 * F.col("m") / (F.col("n") * (F.col("n") - 1)), 8)).otherwise(0.0))
 
 
