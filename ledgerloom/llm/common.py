@@ -54,6 +54,11 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, max_per_class:
     The sample is chosen by a hash of doc_id. It is bounded, so that its ids can be broadcast: the text side of
     the join is read once and never shuffled. A doc_id with both labels counts as 1.
     """
+    return sampled(documents, labels, label, max_per_class, columns)[0]
+
+
+def sampled(documents: DataFrame, labels: DataFrame, label: str, max_per_class: int, columns: list[str]) -> tuple[DataFrame, dict[int, float]]:
+    """The rows of labelled(), and each class's sampling rate: the share of its labels, held-out ones aside, that are in."""
     known = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -61,11 +66,12 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, max_per_class:
         .agg(F.max("y").alias("y"))
     )
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rates = {y: min(1.0, max_per_class / n) for y, n in sizes.items()}
     share = F.lit(0.0)
-    for y, n in sizes.items():
-        share = F.when(F.col("y") == y, F.lit(min(1.0, max_per_class / n))).otherwise(share)
+    for y, rate in rates.items():
+        share = F.when(F.col("y") == y, F.lit(rate)).otherwise(share)
     known = known.where(fold(F.col("doc_id"), 1_000_000, "sample") < share * 1_000_000)
-    return documents.select("doc_id", *columns).join(F.broadcast(known), "doc_id")
+    return documents.select("doc_id", *columns).join(F.broadcast(known), "doc_id"), rates
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:

@@ -191,6 +191,17 @@ def test_toxicity(spark, odd):
     assert toxicity.score_toxicity(odd.limit(0), toxicity.fit_toxicity(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_toxicity_keeps_the_share_of_labels_under_the_cap(spark):
+    """Texts that say nothing score about the share of toxic labels, whatever the cap on the sample is."""
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(f"word{j}" for j in rng.integers(0, 40, 8))) for i in range(6000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(rng.random() < 0.1)) for i in range(6000)], "doc_id long, toxic int")
+    for cap in (6000, 300):
+        model = toxicity.fit_toxicity(docs, labels, bits=16, max_per_class=cap)
+        found = toxicity.score_toxicity(docs, model).agg(F.avg("score").alias("s"), F.avg("predicted").alias("p")).first()
+        assert 0.03 < found.s < 0.2 and found.p < 0.2
+
+
 def test_language(spark, documents, odd):
     model = language.fit_languages(documents)
     found = language.identify_documents(documents, model).join(documents.select("doc_id", F.col("lang").alias("l")), "doc_id").collect()
