@@ -40,6 +40,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Name of a unique key of rows.
+ROW = "_row_key"
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """df with a unique key of its rows, written, so that every reading of df gives a row the same key."""
+    return stash(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == HELD_OUT, F.lit(False))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, stash
+from .common import ROW, Shared, keyed, stash
 
 MIN_HASHES = 4
 #: Documents in a group of the matrix.
@@ -290,10 +290,14 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
 
 
 def drop_near_copies(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id (all columns); wordless ones all stay.
+    """One row of each component stays, the one with the smallest doc_id (all columns); wordless ones all stay.
 
-    Of rows that share a doc_id and a component one stays.
+    Components are of rows: of rows that share a doc_id and a component one stays, and of those with a null doc_id,
+    which count as the largest, one of each component without another doc_id.
     """
-    found = jaccard_components(documents, k, percent)
-    keep = found.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    return documents.join(keep, "doc_id", "left_semi")
+    rows = keyed(documents)
+    found = jaccard_components(rows.select(F.col(ROW).alias("doc_id"), "text"), k, percent)
+    found = found.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW)))
+    keep = found.groupBy("component_id").agg(first.alias("r")).select(F.col(f"r.{ROW}").alias(ROW))
+    return rows.join(keep, ROW, "left_semi").select(*documents.columns)

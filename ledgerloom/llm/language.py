@@ -201,7 +201,7 @@ def identify_pages(pages: DataFrame, model: LanguageModel) -> DataFrame:
     return fuse(evidence, model, ["page_id", "url"])
 
 
-def identify_documents(documents: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang and so on of every document: its lang column counts as declared, its source as the host."""
-    evidence = text_evidence(documents, model, {"doc_id": F.col("doc_id")}, F.col("text"), F.col("source"), declared_lang=F.lower(F.col("lang")))
-    return fuse(evidence, model, ["doc_id"])
+def identify_documents(documents: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep's columns, lang and so on of every document: its lang column counts as declared, its source as the host."""
+    evidence = text_evidence(documents, model, {c: F.col(c) for c in keep}, F.col("text"), F.col("source"), declared_lang=F.lower(F.col("lang")))
+    return fuse(evidence, model, list(keep))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, WordTable, fold, held_out, stash
+from .common import ROW, Shared, WordTable, fold, held_out, keyed, stash
 
 CLASSES_SEPARATOR = "|"
 
@@ -134,21 +134,23 @@ def fit_rates(rows: DataFrame, domains: tuple[str, ...], targets: dict[str, floa
 def mix(documents: DataFrame, model: DomainModel, keep: list[str], targets: dict[str, float] | None = None) -> DataFrame:
     """keep's columns, n_tokens, domain (the likeliest), rate and copies of every document.
 
-    copies is the rate rounded up or down by a hash of the text and doc_id, so that its expectation is the rate.
-    Documents without words weigh nothing; they keep the rate that their prior gets. Null doc_ids are allowed.
+    copies is the rate rounded up or down by a hash of doc_id, or of the text where that is null, so that its
+    expectation is the rate. Documents without words weigh nothing; they keep the rate that their prior gets.
     """
     k = len(model.domains)
-    rows = stash(posteriors(documents, model, keep), "posteriors")
+    by = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit("copies"), F.col("doc_id"))).otherwise(F.xxhash64(F.lit("copies"), F.col("text")))
+    chance = F.pmod(by, F.lit(1 << 30)) / float(1 << 30)
+    rows = stash(posteriors(documents.withColumn("_chance", chance), model, [*keep, "_chance"]), "posteriors")
     taken, _, _ = fit_rates(rows, model.domains, targets)
-    chance = F.pmod(F.xxhash64(F.lit("copies"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     top = F.array_position(F.array(*(F.col(f"p{j}") for j in range(k))), F.greatest(*(F.col(f"p{j}") for j in range(k)), F.lit(0.0))).cast("int")
     names = F.array(*(F.lit(d) for d in model.domains))
-    out = rows.select(*keep, "n_tokens", names[top - 1].alias("domain"), _rate(taken, k).alias("rate"))
-    return out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    out = rows.select(*keep, "_chance", "n_tokens", names[top - 1].alias("domain"), _rate(taken, k).alias("rate"))
+    return out.withColumn("copies", (F.floor("rate") + (F.col("_chance") < F.col("rate") - F.floor("rate")).cast("int")).cast("int")).drop("_chance")
 
 
 def sample_mixed(documents: DataFrame, model: DomainModel, targets: dict[str, float] | None = None) -> DataFrame:
-    """documents with each row repeated `copies` times (not at all for 0), all columns kept."""
-    found = stash(mix(documents, model, ["doc_id"], targets).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0"), "copies")
-    joined = documents.join(found, "doc_id")
+    """documents with each row repeated `copies` times (not at all for 0), all columns kept, whatever its doc_id."""
+    rows = keyed(documents)
+    found = stash(mix(rows, model, [ROW], targets).select(ROW, F.col("copies").alias("_copies")).where("_copies > 0"), "copies")
+    joined = rows.join(found, ROW)
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy").select(*documents.columns)

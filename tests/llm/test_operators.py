@@ -213,6 +213,27 @@ def test_language(spark, documents, odd):
     assert language.identify_documents(odd.limit(0), model).count() == 0
 
 
+def test_pipeline_stages_judge_rows(spark):
+    """Null doc_ids stay, and rows of one doc_id are judged one by one."""
+    import corpus_pipeline
+
+    words = {"en": "the house and the garden of the old town are near the river".split(), "fr": "la maison et le jardin de la vieille ville sont dans le pays".split()}
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(words[x], 30)), x, "a") for i in range(60) for x in (("en", "fr")[i % 2],)]
+    rows += [(None, " ".join(rng.choice(words["en"], 30)), "en", "a") for _ in range(20)] + [(1, "漢字 漢字 漢字", None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = corpus_pipeline.keep_known_languages(spark, docs, SF)
+    assert got.columns == docs.columns and sorted(r.text for r in got.collect()) == sorted(t for _, t, _, _ in rows[:-1])
+    found = jaccard.drop_near_copies(docs)
+    assert found.columns == docs.columns and found.where("doc_id is null").count() == 20
+    model = mixing.fit_domains(docs, docs.select("doc_id"), F.col("lang"))
+    mixed = mixing.sample_mixed(docs, model, {"en": 0.5, "fr": 0.5})
+    assert mixed.columns == docs.columns
+    copies = mixing.mix(docs, model, ["doc_id"], {"en": 0.5, "fr": 0.5})
+    assert mixed.where("doc_id is null").count() == copies.where("doc_id is null").agg(F.sum("copies")).first()[0] > 0
+    assert 0 < copies.where("doc_id is null and copies <= rate").count() < 20  # rounded row by row
+
+
 def test_quality(documents, labels, odd):
     model = quality.fit_quality(documents, labels)
     assert quality.score_quality(documents, labels, model).where("score between 0 and 1").count() == documents.count()
