@@ -2,7 +2,7 @@
 
 Documents are sets of word shingles, hashed to 64 bits. The join has four parts:
 
-1. Equal sets collapse to one representative each (the smallest doc_id).
+1. Equal sets collapse to one, named by its digest.
 2. Tokens in a fixed order, rare before frequent, give each set a prefix; linked sets share at least l tokens of their
    prefixes (l grows with the set). Sets that share no prefix token with another set are done.
 3. Similar documents form groups: documents with the same min-hash are compared with the group's smallest document, and
@@ -168,32 +168,45 @@ def _prefixes(documents: DataFrame, k: int, seed: int, percent: int, frequent: p
     return _rows(documents, run, "token long, dg long, n int, rest int")
 
 
-def _sets(documents: DataFrame, k: int, seed: int) -> DataFrame:
+def _sets(texts: DataFrame, k: int, seed: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.iloc[i : i + 500]
                 found = [shingles(t, seed, k) for t in part["text"]]
-                yield pd.DataFrame({"rep": part["doc_id"], "s": found})
+                yield pd.DataFrame({"rep": part["rep"], "s": found})
 
-    return _rows(documents, run, "rep long, s array<long>")
+    return texts.select("rep", "text").mapInPandas(run, "rep long, s array<long>")
 
 
-def _with_ids(documents: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
-    """Documents whose doc_id is among ids. A bit table of fixed size spares most others the shuffle of their texts."""
+def _texts(documents: DataFrame, active: DataFrame, k: int, seed: int, bits: int = 22) -> DataFrame:
+    """rep, text: one text of each set of active (rep, the set's digest; first, its smallest doc_id).
+
+    A bit table of fixed size, by doc_id, spares most other texts the hashing of their shingles and the shuffle; a
+    task passes a set on once.
+    """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)).cast("int")
-    found = ids.select(place(F.col("doc_id").cast("long")).alias("b")).distinct().toArrow().to_pandas()["b"].to_numpy()
+    found = active.select(place(F.col("first").cast("long")).alias("b")).distinct().toArrow().to_pandas()["b"].to_numpy()
     table = np.zeros(1 << bits, dtype=bool)
     table[found] = True
     shared = Shared(documents.sparkSession, np.packbits(table))
 
     def run(batches):
         own = np.unpackbits(shared.value).astype(bool)
+        seen = set()
         for batch in batches:
-            yield batch[own[batch["_b"]]].drop(columns="_b")
+            texts = batch["text"][own[batch["_b"]]]
+            reps = [_digest(shingles(t, seed, k), seed)[0] for t in texts]
+            new = []
+            for dg in reps:
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                new.append(dg not in seen)
+                seen.add(dg)
+            yield pd.DataFrame({"rep": np.array(reps, dtype=np.int64), "text": texts.to_numpy()})[np.array(new, dtype=bool)]
 
-    near = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", place(F.col("doc_id").cast("long")).alias("_b")).mapInPandas(run, "doc_id long, text string")
-    return near.join(ids, "doc_id", "left_semi")
+    near = documents.select("text", place(F.col("doc_id").cast("long")).alias("_b")).mapInPandas(run, "rep long, text string")
+    return near.join(active.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -231,12 +244,13 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     Two documents link when 100 * intersection >= percent * union of their sets; component_id is the smallest doc_id
     reachable by links. Documents without words (null, empty or blank texts) have no shingles, and link with nothing.
     Rows with a null doc_id are no documents and are left out; a doc_id that occurs in several rows gets
-    a row for each: equal texts fall together, and of different texts each links on its own. Sets are compared as 64-bit hashes.
+    a row for each: equal texts fall together, and of different texts each links on its own. Sets are named by their
+    digests, and compared as 64-bit hashes.
     """
     documents = documents.where(F.col("doc_id").isNotNull())
     for seed in range(3):
         found = stash(_signatures(documents, k, seed), "signatures")
-        per_set = found.where("doc_id is not null and n > 0").groupBy("dg", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(MIN_HASHES)))
+        per_set = found.where("doc_id is not null and n > 0").groupBy("dg", "d2").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(MIN_HASHES)))
         per_set = stash(per_set, "per-set")
         if not per_set.groupBy("dg").agg(F.count("*").alias("x")).where("x > 1").limit(1).count():
             break
@@ -245,12 +259,11 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     tokens = stash(tokens.withColumn("several", _several(tokens, "dg")).where("several").drop("several").distinct(), "matrix")
     # a linked set has l tokens or more that another set has too, by the smaller of the two sizes
     often = tokens.groupBy("dg").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= 1 + F.floor(percent * F.col("n") / (100 * SHARE)))
-    active = stash(per_set.join(often.select("dg"), "dg", "left_semi"), "active")
-    tokens = stash(tokens.join(active.select("dg", "rep"), "dg").select("token", "rep", "n", "rest"), "tokens")
-    texts = _with_ids(documents, active.select(F.col("rep").alias("doc_id")))
-    sets = stash(_sets(texts, k, seed), "sets")
+    active = stash(per_set.join(often.select("dg"), "dg", "left_semi").withColumnRenamed("dg", "rep"), "active")
+    tokens = stash(tokens.withColumnRenamed("dg", "rep").join(active.select("rep"), "rep", "left_semi").select("token", "rep", "n", "rest"), "tokens")
+    sets = stash(_sets(_texts(documents, active, k, seed), k, seed), "sets")
 
-    # groups of similar documents: each min-hash's smallest document against the others
+    # groups of similar documents: each min-hash's set of the smallest digest against the others
     stars = None
     for i in range(MIN_HASHES):
         heads = active.groupBy(f"m{i}").agg(F.min(F.struct("rep", "n")).alias("h"), F.count("*").alias("x")).where("x > 1").select(f"m{i}", F.col("h.rep").alias("a"), F.col("h.n").alias("m"))
@@ -282,8 +295,9 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     across = asked.join(members, ["gc", "gp"]).where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("b").alias("a"), F.col("rep").alias("b"))
     more = stash(_verified(across, sets, percent), "links")
     linked = grouped.select(F.col("c").alias("a"), F.col("id").alias("b")).where("a < b").union(more)
-    final = components(linked)
-    labels = per_set.select("dg", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("dg", F.coalesce("c", "rep").alias("component_id"))
+    final = components(linked).withColumnRenamed("id", "dg")
+    lowest = final.join(per_set.select("dg", "first"), "dg").groupBy("c").agg(F.min("first").alias("lowest"))
+    labels = per_set.select("dg", "first").join(final.join(lowest, "c").select("dg", "lowest"), "dg", "left").select("dg", F.coalesce("lowest", "first").alias("component_id"))
     rows = found.where("doc_id is not null")
     out = rows.join(labels, "dg", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))

@@ -80,6 +80,16 @@ def test_jaccard_odd(odd):
     assert set(jaccard.drop_near_copies(odd).columns) == set(odd.columns)
 
 
+def test_jaccard_repeated_ids(spark):
+    """Of rows that share a doc_id and a text one stays; different texts of a doc_id link each on its own."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = spark.createDataFrame([(1, a)] * 40 + [(1, b), (2, c), (3, b + " end"), (4, c + " end"), (5, a + " end"), (2, "x y"), (6, ""), (6, "")], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect())
+    assert got == {(1, 56, 1): 41, (3, 57, 1): 1, (2, 56, 2): 1, (4, 57, 2): 1, (5, 57, 1): 1, (2, 1, 2): 1, (6, 0, 6): 2}
+    kept = collections.Counter((r.doc_id, r.text) for r in jaccard.drop_near_copies(docs).collect())
+    assert kept == {(1, a): 1, (1, b): 1, (2, c): 1, (2, "x y"): 1, (6, ""): 2}
+
+
 @pytest.fixture(scope="module")
 def pieces():
     import public_tokenizers
