@@ -4,7 +4,8 @@ A page's DOM is a tree of binary variables (content or not). Each node has a una
 its tag, names and text; each parent-child edge has a 2 x 2 potential. Sum-product messages go up from the leaves and
 down from the root, which gives every node's exact content marginal. Both potentials are trained from labelled pages:
 pages whose nodes are marked as content or not (here the built-in labelled pages of `training_pages`, or any given).
-Blocks whose marginal exceeds 1/2 are joined in page order.
+Blocks whose marginal exceeds 1/2 are joined in page order. Forms are left out by their tag unless they hold most of
+the page's text outside links, as a wrapper of the page does; then the model decides.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .common import fit_logistic, pieces_of
 
 # Tags by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object noembed noframes xmp".split())
-HIDDEN = frozenset("script style noscript template head title iframe svg math object noembed noframes textarea select option button form input label".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object noembed noframes xmp".split())
+HIDDEN = frozenset("script style noscript template head title iframe svg object noembed noframes textarea select option button form input label".split())
 BLOCKS = frozenset("html head body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary hr dialog menu center legend".split())
 ENDS_P = BLOCKS - {"html", "head", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "li", "dt", "dd", "summary", "figcaption", "legend"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
@@ -109,9 +110,12 @@ def parse(html: str | None) -> Node:
         node = Node(tag, attrs, here)
         if tag in VOID:
             continue
+        if tag == "svg" and attrs.rstrip().endswith("/"):
+            continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = stop.end() if stop else end
+            if stop or tag != "svg":  # an svg that never ends holds no rest of the page
+                at = stop.end() if stop else end
             continue
         if not attrs.rstrip().endswith("/") or tag in BLOCKS:
             here = node
@@ -129,6 +133,22 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
+def _open_forms(nodes: list[Node]) -> None:
+    """Makes blocks of forms that hold most of the page's text outside links, so that the model decides on them."""
+    if not any(node.tag == "form" for node in nodes):
+        return
+    hidden = HIDDEN - {"form"} | {"a"}
+    held = [sum(len(p) for p in node.parts if isinstance(p, str) and not p.isspace()) for node in nodes]
+    for node in reversed(nodes):
+        if node.tag in hidden:
+            held[node.place] = 0
+        if node.parent is not None:
+            held[node.parent.place] += held[node.place]
+    for node in nodes:
+        if node.tag == "form" and 2 * held[node.place] > held[0]:
+            node.tag = "div"
+
+
 _TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "li", "ul", "table", "td", "blockquote", "pre", "nav", "header", "footer", "aside", "a", "body", "figcaption")
 WIDTH = len(_TAGS) + 10
 
@@ -233,6 +253,7 @@ def extract(html: str | None, model: HtmlModel) -> str:
         return ""
     root = parse(html)
     nodes = _nodes(root)
+    _open_forms(nodes)
     parents = np.array([-1 if n.parent is None else n.parent.place for n in nodes])
     p = marginals(parents, _features(nodes) @ model.unary[:-1] + model.unary[-1], model.pair)
     blocks: list[str] = []

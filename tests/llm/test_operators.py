@@ -175,6 +175,21 @@ def test_html():
         assert isinstance(html.extract(odd, model), str)
 
 
+def test_html_keeps_what_follows_icons_and_lies_in_wrappers():
+    model = html.fit_html(html.training_pages())
+    prose = ("A long walk through the woods and over the hill brought them to the lake, where the boats lay. " * 4).strip()
+    want = f"{prose}\nSum is x+y here.\n{prose}"
+    article = f"<article><p>{prose}</p><p>Sum is <math><mi>x</mi><mspace/><mo>+</mo><mi>y</mi></math><math/> here.</p><p>{prose}</p></article>"
+    for icon in ('<svg class="i"/>', "<svg/>", "<svg>"):
+        assert html.extract(f"<html><body>{icon}{article}<footer>us</footer></body></html>", model) == want
+        assert html.extract(f"<html><body>{article.replace('<p>Sum', icon + '<p>Sum')}<footer>us</footer></body></html>", model) == want
+    assert html.extract(f"<html><body><svg><text>no</text></svg>{article}</body></html>", model) == want
+    menu = '<nav><a href="/">Home</a></nav>'
+    for form in ("<form>", '<form id="aspnetForm" method="post">'):
+        assert html.extract(f"<html><body>{form}{menu}{article}<label>Name</label></form><footer>us</footer></body></html>", model) == want
+    assert html.extract(f"<html><body>{article}<form><p>Our letter by mail</p></form></body></html>", model) == want
+
+
 def test_marginals_are_exact():
     """Sum-product on a tree equals the sum over all states."""
     rng = np.random.default_rng(3)
