@@ -102,8 +102,9 @@ def _search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.ndarray
     least = best.floor()[which]
     rough = x @ q[which].T
     slack = 1e-9 * (1.0 + np.abs(rough))
-    if len(x) > best.k:
-        kth = np.partition(rough, -best.k - 1, axis=0)[-best.k - 1]  # one more, as the query itself may be among them
+    rough[ids[:, None] == query_ids[which]] = -np.inf  # all rows of the query's vec_id are its own
+    if len(x) >= best.k:
+        kth = np.partition(rough, -best.k, axis=0)[-best.k]
         least = np.maximum(least, kth)
     c, w = np.nonzero(rough + slack >= least)
     for i in range(0, len(c), 200_000):

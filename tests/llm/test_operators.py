@@ -159,6 +159,17 @@ def test_nearest_recall(spark):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+def test_nearest_with_a_repeated_query(spark):
+    """Rows that share the query's vec_id don't push out its neighbours."""
+    rng = np.random.default_rng(4)
+    near = [(i, [1.0, *(0.01 * rng.normal(size=3)).tolist()]) for i in range(1, 20)] + [(i, [0.5, *(0.01 * rng.normal(size=3)).tolist()]) for i in range(21, 40)]
+    docs = spark.createDataFrame([(0, [2.0, 0.0, 0.0, 0.0])] * 50 + near, "vec_id long, embedding array<double>")
+    got = [r for r in ann.nearest(docs, is_query=F.col("vec_id") == 0, recall=1.0).collect()]
+    x = np.array([v for _, v in near])
+    want = [near[i][0] for i in np.argsort(-x[:, 0], kind="stable")[:20]]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == want
+
+
 @pytest.mark.parametrize(("url", "host", "path", "rule", "verdict"), [("http://A.Example.org/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"), ("https://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"), ("http://b.org/x", "b.org", "/x", "org/", "allow"), ("http://b.org", "b.org", "", None, "allow"), ("http://x.com/de/porn", "x.com", "/de/porn", "com/de/", "block"), ("http://x.net/porn-1", "x.net", "/porn-1", None, "block"), ("http://x.net/popcorn", "x.net", "/popcorn", None, "allow"), ("http://x.net/sexy/casino", "x.net", "/sexy/casino", None, "block"), ("http://x.net/casino/casino", "x.net", "/casino/casino", None, "allow"), ("nothing", "", "", None, "allow"), (None, "", "", None, "allow"), ("http://h?q#f", "h", "", None, "allow"), ("http://notexample.org/es/", "notexample.org", "/es/", "org/", "allow")])
 def test_urls(spark, url, host, path, rule, verdict):
     assert urls.UrlFilter().judge(url)[:4] == (host, path, rule, verdict)
