@@ -83,7 +83,7 @@ def visible(html: str | None) -> str:
 
 
 def declared(html: str | None) -> str | None:
-    m = _DECLARED.search((html or "")[:20_000])
+    m = _DECLARED.search(html or "")
     return m[1].lower()[:2] if m else None
 
 

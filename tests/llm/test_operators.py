@@ -249,6 +249,12 @@ def test_language(spark, documents, odd):
     assert language.identify_documents(odd.limit(0), model).count() == 0
 
 
+def test_declared_language_after_a_long_preamble():
+    for preamble in ("<!-- " + "licence " * 5000 + "-->", " " * 30_000):
+        assert language.declared(f'{preamble}<html class="x" lang="fr-CA"><p>x') == "fr"
+    assert language.declared("<p>x" * 10_000) is None
+
+
 def test_pipeline_stages_judge_rows(spark):
     """Null doc_ids stay, and rows of one doc_id are judged one by one."""
     import corpus_pipeline
