@@ -165,8 +165,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def month_chunks(df: DataFrame) -> DataFrame:
-    """A text for each month, from its totals and its three largest categories."""
+    """A text for each month, from its totals and its three largest categories; a month without expenses has none."""
     top = month_distribution(df).where("rank <= 3").groupBy("year", "month").agg(F.array_sort(F.collect_list(F.struct("rank", "category", "spent"))).alias("t"))
     names = F.array_join(F.transform("t", lambda x: F.concat(x["category"], F.lit(" "), F.format_string("%.2f", x["spent"]))), ", ")
+    names = F.coalesce(names, F.lit(""))
     text = F.concat(F.format_string("%d-%02d: %d transactions, income %.2f, expenses %.2f, net %.2f. Top: ", "year", "month", "n", "income", "expenses", "net"), names)
-    return monthly(df).join(top, ["year", "month"]).select(F.format_string("month_%d_%02d", "year", "month").alias("chunk_id"), text.alias("text"))
+    return monthly(df.where(F.col("date").isNotNull())).join(top, ["year", "month"], "left").select(F.format_string("month_%d_%02d", "year", "month").alias("chunk_id"), text.alias("text"))
