@@ -52,13 +52,18 @@ def word_logs(m: LanguageModel) -> WordTable:
     return WordTable(vector, len(m.languages) + 2)
 
 
-def fit_languages(documents: DataFrame, text: str = "text", lang: str = "lang", languages: tuple[str, ...] = ("de", "en", "es", "fr"), n: int = 3, bits: int = 18, max_per_language: int = 3000, strength: float = 2.0) -> LanguageModel:
+def fit_languages(documents: DataFrame, text: str = "text", lang: str = "lang", languages: tuple[str, ...] | None = None, n: int = 3, bits: int = 18, max_per_language: int = 3000, strength: float = 2.0, least_rows: int = 5) -> LanguageModel:
     """n-gram models of the languages from at most about max_per_language documents that name each of them.
 
+    Unless given, languages are those that at least least_rows documents with a text name, in any case (all that are
+    named, if none has so many).
     Counts are of distinct words, so copies don't weigh; they are smoothed toward the pooled counts.
     """
-    rows = documents.select(F.col(lang).alias("l"), F.col(text).alias("t")).where(F.col(lang).isin(*languages) & F.col(text).isNotNull())
+    rows = documents.select(F.lower(F.col(lang)).alias("l"), F.col(text).alias("t")).where("l != '' and t is not null")
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    if languages is None:
+        languages = tuple(sorted(x for x, size in sizes.items() if size >= least_rows)) or tuple(sorted(sizes)) or ("und",)
+    sizes = {x: size for x, size in sizes.items() if x in languages}
     share = F.lit(0.0)
     for name, size in sizes.items():
         share = F.when(F.col("l") == name, F.lit(min(1.0, max_per_language / size))).otherwise(share)

@@ -255,6 +255,16 @@ def test_declared_language_after_a_long_preamble():
     assert language.declared("<p>x" * 10_000) is None
 
 
+def test_languages_come_from_the_table(spark, documents):
+    words = "il gatto dorme sulla sedia della cucina mentre la pioggia cade piano sopra i tetti della vecchia strada".split()
+    rng = np.random.default_rng(6)
+    italian = spark.createDataFrame([(10_000 + i, " ".join(rng.choice(words, 40)), "it", "x") for i in range(40)] + [(20_000, "unu du tri", "eo", "x")], "doc_id long, text string, lang string, source string")
+    both = documents.select("doc_id", "text", "lang", "source").unionByName(italian)
+    model = language.fit_languages(both)
+    assert model.languages == ("de", "en", "es", "fr", "it")
+    assert language.identify_documents(italian.where("lang = 'it'"), model).where("accepted and lang = 'it'").count() == 40
+
+
 def test_pipeline_stages_judge_rows(spark):
     """Null doc_ids stay, and rows of one doc_id are judged one by one."""
     import corpus_pipeline
