@@ -24,20 +24,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where all run on one machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives the loss of executors."""
+    """Writes df to the shared folder and reads it back: cuts the lineage and survives the loss of executors.
+
+    The shuffle files of the write go when it ends, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def release(*stashed: DataFrame) -> None:
+    """Deletes stashed tables that nothing will read again."""
+    for df in stashed:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stashed)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: A key of more rows is dealt to several tasks, if it is one of the HOT_KEYS most frequent; others have fewer than that share.
+HOT_ROWS, HOT_KEYS, MOST_PARTS = 1024, 1000, 4096
+
+
+def dealt_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """big joined to small, where one key may hold a great part of big's rows (inner, left or left_semi).
+
+    The most frequent keys of big (HOT_KEYS at most, so that they can be broadcast) are dealt to parts of about HOT_ROWS
+    rows, and small's rows of these keys are repeated for each part.
+    """
+    keys, spark = [on] if isinstance(on, str) else list(on), big.sparkSession
+    counts = big.groupBy(*keys).agg(F.count("*").alias("_parts")).where(F.col("_parts") > HOT_ROWS)
+    parts = F.least(F.ceil(F.col("_parts") / HOT_ROWS), F.lit(MOST_PARTS)).cast("int").alias("_parts")
+    counts = counts.orderBy(F.desc("_parts"), *keys).limit(HOT_KEYS).select(*keys, parts)
+    hot = counts.collect()
+    if not hot:
+        return big.join(small, keys, how)
+    few = F.broadcast(spark.createDataFrame(hot, counts.schema))
+    dealt = big.withColumn("_salt", F.monotonically_increasing_id()).join(few, keys, "left")
+    dealt = dealt.withColumn("_salt", F.coalesce(F.pmod("_salt", "_parts"), F.lit(0)).cast("int")).drop("_parts")
+    each = small.join(few, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(each, [*keys, "_salt"], how).drop("_salt")
 
 
 #: Name of a unique key of rows.
@@ -139,7 +186,7 @@ class WordTable(dict):
 
 
 class Shared:
-    """A broadcast value that executors can read without having this package's modules."""
+    """A broadcast value that executors can read without having this package's modules. Read value once a task."""
 
     def __init__(self, spark: SparkSession, value):
         from pyspark import cloudpickle

@@ -303,3 +303,51 @@ def test_mixing(documents, labels, odd):
     assert mixing.mix(odd, model, ["doc_id"]).count() == 9
     assert mixing.sample_mixed(odd, model).columns == odd.columns
     assert mixing.mix(odd.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_jaccard_words_of_one_polynomial(spark):
+    """Two words that agree under every polynomial modulo 2**64 are two words."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    docs = spark.createDataFrame([(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs).collect()) == [(1, 1), (2, 2)]
+
+
+def test_jaccard_large_groups(spark):
+    """Many blank, equal and nearly equal rows, dealt to several tasks."""
+    near = lambda j: " ".join(f"n{i}" if i != j % 60 else f"q{j}" for i in range(60))
+    rows = [(i, " ") for i in range(3000)] + [(10_000 + i, "one two three four five six") for i in range(3000)] + [(20_000 + i, near(i)) for i in range(3000)] + [(30_000, "x y z")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("n_shingles", "component_id").agg(F.count("*").alias("x")).where("x > 1").collect()
+    assert [tuple(r) for r in got if r.n_shingles == 2] == [(2, 10_000, 3000)]
+    assert sum(r.x for r in got if r.component_id == 20_000) == 3000
+
+
+def test_jaccard_random_families(spark):
+    """Variants at all degrees of similarity, of short and long texts, against brute force."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for family in range(40):
+        base = [f"f{family}w{i}" for i in range(int(rng.integers(3, 160)))]
+        for _ in range(6):
+            words = [w for w in base if rng.random() > rng.choice([0.0, 0.01, 0.04])]
+            words = [w if rng.random() > rng.choice([0.0, 0.01, 0.05]) else f"r{rng.integers(1 << 30)}" for w in words]
+            texts.append(" ".join(words + ["common tail that all the texts of this test share"] * int(rng.integers(0, 2))))
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components([i for i, _ in rows], texts)
+
+
+def test_least_shared_prefix_tokens(spark):
+    """The bound on shared prefix tokens holds for random pairs at the edge of a link."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for _ in range(400):
+        n, m = sorted(rng.integers(1, 300, 2))
+        need = -(-75 * (n + m) // 175)
+        if need > n:
+            continue
+        ids = rng.permutation(n + m - need)
+        a, b = np.sort(ids[:n]), np.sort(np.r_[ids[:need], ids[n:]])
+        keep = lambda s: set(s[: len(s) - -(-75 * len(s) // 100) + 1 + len(s) // jaccard.SHARE].tolist())
+        rows.append((int(n), int(m), len(keep(a) & keep(b))))
+    df = spark.createDataFrame(rows, "n int, m int, shared int")
+    assert df.where(F.col("shared") < F.least(*jaccard.least_shared(F.col("n"), F.col("m"), 75))).count() == 0 and len(rows) > 50
