@@ -11,7 +11,8 @@ Documents are sets of word shingles, hashed to 64 bits. The join has five parts:
 4. A token-group matrix holds the union of each group's prefix tokens. Its equi-join with a document's prefix tokens
    names the groups outside the document's component that it could be linked with; the overlap with the group's union
    bounds the overlap with every member, and only groups whose bound suffices are opened.
-5. An opened group's members are bounded one by one by their own prefixes, and those that pass are compared exactly.
+5. An opened group's members are bounded one by one by their own prefixes, and those that pass are compared exactly, in
+   the group's row: one link to a group is enough.
 
 Documents of one component need no further comparison, so a group of a million near copies gives a million rows and
 not their pairs, while every link between components is found. Keys that hold a great part of the rows (a common token,
@@ -305,8 +306,8 @@ def _members(tokens: DataFrame, grouped: DataFrame) -> DataFrame:
     return out
 
 
-def _candidates(members: DataFrame, percent: int) -> DataFrame:
-    """a, b, ca, cb: pairs of sets of different components that share the prefix tokens which a link asks for."""
+def _asked(members: DataFrame, percent: int) -> DataFrame:
+    """rep, c, gc, gp: the groups of other components that share a token of the matrix with each set; written."""
     cells = members.select("rep", "n", "c", "part", F.explode("t").alias("x")).select("rep", "n", "c", "part", "x.token", "x.rest")
     # one token in common lies in the prefixes without their extra tokens
     first = stash(cells.where(F.col("rest") >= F.ceil(percent * F.col("n") / F.lit(100))), "first")
@@ -315,24 +316,52 @@ def _candidates(members: DataFrame, percent: int) -> DataFrame:
     # sizes that can't link, and tokens that can't be the first common one of a link, go
     fits = (F.col("gc") < F.col("c")) & (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
     fits &= (100 + percent) * F.least("rest", "left") >= percent * (F.col("n") + F.col("least"))
-    asked = stash(dealt_join(first, matrix, "token").where(fits).select("rep", "gc", "gp").distinct(), "asked")
-    tokens = lambda t: F.transform(t, lambda x: x["token"])
-    own = members.select("rep", "n", "c", tokens("t").alias("t"))
+    out = stash(dealt_join(first, matrix, "token").where(fits).select("rep", "c", "gc", "gp").distinct(), "asked")
+    release(first, matrix)
+    return out
+
+
+def _opened(asked: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """rep, c, gc, gp, near: the groups whose bound suffices, with those of their members whose own does; written."""
+    n = F.col("n")
     inside = F.collect_list(F.struct(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("t").alias("u")))
-    groups = own.join(members.select("rep", "part"), "rep").groupBy(F.col("c").alias("gc"), F.col("part").alias("gp"))
-    groups = groups.agg(F.min("n").alias("least"), F.max("n").alias("most"), inside.alias("inside"))
+    groups = own.groupBy(F.col("c").alias("gc"), F.col("part").alias("gp")).agg(F.min("n").alias("least"), F.max("n").alias("most"), inside.alias("inside"))
     groups = stash(groups.withColumn("union", F.array_distinct(F.flatten(F.transform("inside", lambda x: x["u"])))), "unions")
-    queries = stash(dealt_join(asked, own, "rep"), "queries")
-    n = F.col("n")
+    queries = stash(dealt_join(asked, own.select("rep", "n", "t"), "rep"), "queries")
     early, late = least_shared(n, F.col("least"), percent)[0], F.least(*(least_shared(n, F.col(x), percent)[1] for x in ("least", "most")))
     # the second bound is linear in a member's size but for roundings, which sum up to less than 3
     bound = F.greatest(F.lit(1), F.least(early, late - 3))
-    opened = dealt_join(queries, groups, ["gc", "gp"]).where(F.size(F.array_intersect("t", "union")) >= bound)
-    pairs = opened.select("rep", "n", "c", "t", "gc", F.explode("inside").alias("x")).select("rep", "n", "c", "t", "gc", "x.b", "x.m", "x.u")
-    pairs = pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    pairs = pairs.where(F.size(F.array_intersect("t", "u")) >= F.greatest(F.lit(1), F.least(*least_shared(n, F.col("m"), percent))))
-    out = stash(pairs.select(F.col("b").alias("a"), F.col("rep").alias("b"), F.col("gc").alias("ca"), F.col("c").alias("cb")), "pairs")
-    release(first, matrix, asked, groups, queries)
+    rows = dealt_join(queries, groups, ["gc", "gp"]).where(F.size(F.array_intersect("t", "union")) >= bound)
+
+    def near(x: Column) -> Column:
+        alike = 100 * F.least(n, x["m"]) >= percent * F.greatest(n, x["m"])
+        return alike & (F.size(F.array_intersect(F.col("t"), x["u"])) >= F.greatest(F.lit(1), F.least(*least_shared(n, x["m"], percent))))
+
+    members = F.transform(F.filter("inside", near), lambda x: x["b"])
+    out = stash(rows.select("rep", "c", "gc", "gp", members.alias("near")).where(F.size("near") > 0), "opened")
+    release(groups, queries)
+    return out
+
+
+def _across_links(documents: DataFrame, per_set: DataFrame, opened: DataFrame, own: DataFrame, k: int, seed: int, percent: int) -> DataFrame:
+    """a, b: components of which two sets are links, by whole sets; written.
+
+    A group's sets lie in one row, and an asking set is held against them there, so that no pairs are made.
+    """
+    inside = own.select("rep", F.col("c").alias("gc"), F.col("part").alias("gp")).join(opened.select("gc", "gp").distinct(), ["gc", "gp"], "left_semi")
+    ends = opened.select("rep").union(inside.select("rep")).distinct()
+    wanted = stash(per_set.select(F.col("dg").alias("rep"), "first").join(ends, "rep", "left_semi"), "wanted")
+    sets = stash(_sets(documents, wanted, k, seed), "sets")
+    groups = stash(inside.join(sets, "rep").groupBy("gc", "gp").agg(F.collect_list(F.struct(F.col("rep").alias("b"), F.col("s").alias("u"))).alias("inside")), "groups")
+    queries = stash(dealt_join(opened, sets, "rep"), "half")
+
+    def linked(x: Column) -> Column:
+        both = F.size(F.array_intersect(F.col("s"), x["u"]))
+        return F.array_contains("near", x["b"]) & ((100 + percent) * both >= percent * (F.size("s") + F.size(x["u"])))
+
+    rows = dealt_join(queries, groups, ["gc", "gp"]).where(F.exists("inside", linked))
+    out = stash(rows.select(F.col("gc").alias("a"), F.col("c").alias("b")).distinct(), "links")
+    release(wanted, sets, groups, queries)
     return out
 
 
@@ -365,10 +394,12 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     tokens = stash(tokens, "tokens")
     members = _members(tokens, grouped)
     release(tokens)
-    pairs = _candidates(members, percent)
-    release(members)
-    more = _verified(documents, per_set, pairs, k, seed, percent)
-    joined = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    asked = _asked(members, percent)
+    own = stash(members.select("rep", "n", "c", "part", F.transform("t", lambda x: x["token"]).alias("t")), "own")
+    opened = _opened(asked, own, percent)
+    more = _across_links(documents, per_set, opened, own, k, seed, percent)
+    joined = components(more)
+    release(members, asked, own, opened, more)
 
     # component of each set that is linked; then the smallest doc_id of each component, and of copies
     roots = grouped.select("c").union(joined.select(F.col("id").alias("c"))).distinct().join(joined.withColumnRenamed("c", "r"), F.col("c") == F.col("id"), "left").select("c", F.coalesce("r", "c").alias("r"))
@@ -380,7 +411,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     labels = stash(dealt_join(sets.where("r is not null"), lowest, "r").select("dg", F.col("lowest").alias("component_id")).unionByName(several), "labels")
     rows = found.where("doc_id is not null").select("doc_id", "n", "dg")
     named = dealt_join(rows.where("n > 0"), labels, "dg", "left").unionByName(rows.where("n = 0"), allowMissingColumns=True)
-    release(grouped, pairs, more, joined, linked, sets, per_set)
+    release(grouped, joined, linked, sets, per_set)
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
