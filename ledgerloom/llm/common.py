@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,20 +72,38 @@ def dealt_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str =
     """big joined to small, where one key may hold a great part of big's rows (inner, left or left_semi).
 
     The most frequent keys of big (HOT_KEYS at most, so that they can be broadcast) are dealt to parts of about HOT_ROWS
-    rows, and small's rows of these keys are repeated for each part.
+    rows, and small's rows of these keys are repeated for each part. Many rows with a null key don't travel at all.
     """
     keys, spark = [on] if isinstance(on, str) else list(on), big.sparkSession
     counts = big.groupBy(*keys).agg(F.count("*").alias("_parts")).where(F.col("_parts") > HOT_ROWS)
     parts = F.least(F.ceil(F.col("_parts") / HOT_ROWS), F.lit(MOST_PARTS)).cast("int").alias("_parts")
     counts = counts.orderBy(F.desc("_parts"), *keys).limit(HOT_KEYS).select(*keys, parts)
     hot = counts.collect()
+    blank = [r for r in hot if None in r[: len(keys)]]
+    if blank:
+        hot = [r for r in hot if r not in blank]
+        null = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in keys))
+        nulls, big = big.where(null), big.where(~null)
     if not hot:
-        return big.join(small, keys, how)
+        out = big.join(small, keys, how)
+        return out.unionByName(nulls, allowMissingColumns=True) if blank and how == "left" else out
     few = F.broadcast(spark.createDataFrame(hot, counts.schema))
     dealt = big.withColumn("_salt", F.monotonically_increasing_id()).join(few, keys, "left")
     dealt = dealt.withColumn("_salt", F.coalesce(F.pmod("_salt", "_parts"), F.lit(0)).cast("int")).drop("_parts")
     each = small.join(few, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return dealt.join(each, [*keys, "_salt"], how).drop("_salt")
+    out = dealt.join(each, [*keys, "_salt"], how).drop("_salt")
+    return out.unionByName(nulls, allowMissingColumns=True) if blank and how == "left" else out
+
+
+#: A table of up to so many rows of a few numbers and a name is broadcast.
+SMALL_ROWS = 200_000
+
+
+def lookup(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
+    """big joined to small (one row a key, a name and a few numbers), which is broadcast if its counted rows are few."""
+    if small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return big.join(F.broadcast(small), on, how)
+    return dealt_join(big, small, on, how)
 
 
 #: Name of a unique key of rows.
@@ -108,7 +127,8 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, max_per_class:
     """Documents with a 0/1 label, about max_per_class of each class at most, without the held-out rows.
 
     The sample is chosen by a hash of doc_id. It is bounded, so that its ids can be broadcast: the text side of
-    the join is read once and never shuffled. A doc_id with both labels counts as 1.
+    the join is read once and only the sample's texts are shuffled. A doc_id with both labels counts as 1; of several
+    texts of a doc_id the smallest counts.
     """
     return sampled(documents, labels, label, max_per_class, columns)[0]
 
@@ -127,7 +147,9 @@ def sampled(documents: DataFrame, labels: DataFrame, label: str, max_per_class:
     for y, rate in rates.items():
         share = F.when(F.col("y") == y, F.lit(rate)).otherwise(share)
     known = known.where(fold(F.col("doc_id"), 1_000_000, "sample") < share * 1_000_000)
-    return documents.select("doc_id", *columns).join(F.broadcast(known), "doc_id"), rates
+    rows = documents.select("doc_id", *columns).join(F.broadcast(known), "doc_id")
+    least = rows.groupBy("doc_id", "y").agg(F.min(F.struct(*columns)).alias("r"))  # of repeated ids one text
+    return least.select("doc_id", *(F.col(f"r.{c}").alias(c) for c in columns), "y"), rates
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
@@ -198,3 +220,7 @@ class Shared:
         import pickle
 
         return pickle.loads(self._sent.value)
+
+    def release(self) -> None:
+        """The value will not be read again."""
+        self._sent.unpersist()

@@ -9,24 +9,27 @@ trusted is learnt from how often they agree with the texts' posteriors.
 
 from __future__ import annotations
 
+import html as entities
 import math
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, WordTable, fold, pieces_of, stash
+from .common import Shared, WordTable, fold, lookup, release, stash
 from .urls import host_and_path
 
 #: Shares that a pseudo-observation of the parent has at a host and at a domain.
 PRIOR_STRENGTH = 20.0
 _DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.I)
 _HIDDEN = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>", re.I | re.S)
-_ENTITY = re.compile(r"&#?\w+;?")
+# Names under country domains that are no sites of their own.
+SECOND_LEVEL = frozenset("ac co com edu gob gouv gov mil net org".split())
 
 
 @dataclass(frozen=True)
@@ -83,8 +86,14 @@ def fit_languages(documents: DataFrame, text: str = "text", lang: str = "lang",
 
 
 def visible(html: str | None) -> str:
-    """A page's text without markup, for language evidence alone."""
-    return _ENTITY.sub(" ", _HIDDEN.sub(" ", html or ""))
+    """A page's text without markup, character references decoded, for language evidence alone."""
+    return entities.unescape(_HIDDEN.sub(" ", html or ""))
+
+
+def site(host: str) -> str:
+    """The domain whose hosts share a prior: two labels, three under a second-level name of a country."""
+    labels = host.split(".")
+    return ".".join(labels[-3:] if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SECOND_LEVEL else labels[-2:])
 
 
 def declared(html: str | None) -> str | None:
@@ -118,46 +127,49 @@ def text_posterior(text: str, words: WordTable, sharpness: float = 0.5, most: fl
     return logs - math.log(np.exp(logs).sum()), float(total[k + 1] / total[k])
 
 
-def text_evidence(df: DataFrame, model: LanguageModel, keep: dict[str, Column], text: Column, url: Column | None = None, html: bool = False, declared_lang: Column | None = None) -> DataFrame:
-    """keep's columns, host, domain, declared, suffix, known (share of known n-grams) and p (log-posterior by text)."""
-    shared = Shared(df.sparkSession, model)
-    rows = df.select(*(c.alias(k) for k, c in keep.items()), text.alias("_text"), (url if url is not None else F.lit(None).cast("string")).alias("_url"), (declared_lang if declared_lang is not None else F.lit(None).cast("string")).alias("_lang"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-3])
+def text_evidence(spark: SparkSession, model: LanguageModel, text: Column, url: Column, declared_lang: Column | None = None) -> Column:
+    """A struct of host, domain, declared, suffix, known (share of known n-grams) and p (log-posterior by text).
 
-    names = list(keep)
+    Texts are pages' html, which also declares the language, unless declared_lang is given.
+    """
+    shared = Shared(spark, model)
+    html = declared_lang is None
 
-    def run(batches):
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         m = shared.value
         words = word_logs(m)
-        for batch in batches:
-            for part in pieces_of(batch, ["_text"]):
-                out = part[names].copy()
-                logs, known, hosts, says, ends = [], [], [], [], []
-                for t, u, d in zip(part["_text"], part["_url"], part["_lang"], strict=True):
-                    p, s = text_posterior(visible(t) if html else t or "", words)
-                    logs.append(p.tolist())
-                    known.append(s)
-                    hosts.append(host_and_path(u)[0] if u and "://" in u else u or "")
-                    says.append(declared(t) if html else d)
-                    ends.append(suffix(u, m.languages))
-                out["host"] = hosts
-                out["domain"] = [".".join(h.split(".")[-2:]) for h in hosts]
-                out["declared"], out["suffix"], out["known"], out["p"] = says, ends, known, logs
-                yield out
-
-    return rows.mapInPandas(run, f"{fields}, host string, domain string, declared string, suffix string, known double, p array<double>")
-
-
-def fuse(evidence: DataFrame, model: LanguageModel, keep: list[str], least_known: float = 0.5, least: float = 0.5) -> DataFrame:
-    """keep's columns, lang (und where the evidence is too weak), confidence, text_lang and accepted.
+        for texts, urls, langs in batches:
+            logs, known, hosts, says, ends = [], [], [], [], []
+            for t, u, d in zip(texts, urls, langs, strict=True):
+                p, s = text_posterior(visible(t) if html else t or "", words)
+                logs.append(p.tolist())
+                known.append(s)
+                hosts.append(host_and_path(u)[0] if u and "://" in u else u or "")
+                says.append(declared(t) if html else d)
+                ends.append(suffix(u, m.languages))
+            yield pd.DataFrame({"host": hosts, "domain": [site(h) for h in hosts], "declared": says, "suffix": ends, "known": np.array(known, dtype=float), "p": logs})
+
+    found = F.pandas_udf(run, "host string, domain string, declared string, suffix string, known double, p array<double>")
+    return found(text, url, declared_lang if declared_lang is not None else F.lit(None).cast("string"))
+
+
+#: What fuse adds to the rows, and the column of the evidence.
+FUSED, EVIDENCE = "_fused", "_evidence"
+
+
+def fuse(evidence: DataFrame, model: LanguageModel, least_known: float = 0.5, least: float = 0.5) -> DataFrame:
+    """The rows with a struct FUSED in place of their EVIDENCE: lang (und where the evidence is too weak), confidence,
+    text_lang, known and accepted.
 
     A row is undetermined if the models know under least_known of its n-grams, it has no text, or its best language's
-    posterior is under `least`.
+    posterior is under `least`. Rows are written once, and never shuffled unless their hosts are too many to broadcast.
     """
     langs, k = model.languages, len(model.languages)
+    columns = [c for c in evidence.columns if c != EVIDENCE]
     rows = stash(evidence, "language")
+    fields = rows.select(F.col(f"{EVIDENCE}.*"))
     soft = [F.exp(F.col("p")[i]) for i in range(k)]
-    by_host = rows.groupBy("host", "domain").agg(*(F.sum(s).alias(f"s{i}") for i, s in enumerate(soft)))
+    by_host = fields.groupBy("host", "domain").agg(*(F.sum(s).alias(f"s{i}") for i, s in enumerate(soft)))
     by_host = stash(by_host, "hosts")
     sums = [F.sum(f"s{i}").alias(f"d{i}") for i in range(k)]
     total = by_host.agg(*sums).first()
@@ -166,34 +178,41 @@ def fuse(evidence: DataFrame, model: LanguageModel, keep: list[str], least_known
     domains = by_host.groupBy("domain").agg(*sums)
     seen = lambda letter: sum((F.col(f"{letter}{i}") for i in range(1, k)), F.col(f"{letter}0"))
     domains = domains.select("domain", *(((F.col(f"d{i}") + PRIOR_STRENGTH * float(base[i])) / (seen("d") + PRIOR_STRENGTH)).alias(f"q{i}") for i in range(k)))
-    hosts = by_host.join(domains, "domain").select("host", *(F.log((F.col(f"s{i}") + PRIOR_STRENGTH * F.col(f"q{i}")) / (seen("s") + PRIOR_STRENGTH)).alias(f"h{i}") for i in range(k)))
-    hosts = stash(hosts, "host-priors")
+    priors = F.array(*(F.log((F.col(f"s{i}") + PRIOR_STRENGTH * F.col(f"q{i}")) / (seen("s") + PRIOR_STRENGTH)) for i in range(k)))
+    hosts = stash(lookup(by_host, domains, "domain", "inner").select(F.col("host").alias("_host"), priors.alias("_prior")), "host-priors")
+    release(by_host)
 
     def trust(column: str) -> dict[str, list[float]]:
         """log P(column says x | language), from sums of the texts' posteriors; values that no language has are one."""
         value = F.when(F.col(column).isin(*langs), F.col(column)).otherwise(F.when(F.col(column).isNull(), F.lit("none")).otherwise(F.lit("other")))
-        found = {r["v"]: np.array([r[f"s{i}"] for i in range(k)]) for r in rows.groupBy(value.alias("v")).agg(*(F.sum(s).alias(f"s{i}") for i, s in enumerate(soft))).collect()}
+        found = {r["v"]: np.array([r[f"s{i}"] for i in range(k)]) for r in fields.groupBy(value.alias("v")).agg(*(F.sum(s).alias(f"s{i}") for i, s in enumerate(soft))).collect()}
         counts = np.array([found.get(v, np.zeros(k)) for v in (*langs, "none", "other")]) + 0.5
         counts[:k] += 2.0 * np.eye(k)
         return {v: row.tolist() for v, row in zip((*langs, "none", "other"), np.log(counts / counts.sum(0)), strict=True)}
 
-    def told(column: str, i: int) -> Column:
+    def told(column: str) -> Column:
+        says = F.col(f"{EVIDENCE}.{column}")
         logs = trusts[column]
-        out = F.when(F.col(column).isNull(), F.lit(logs["none"][i]))
+        out = F.when(says.isNull(), F.array(*map(F.lit, logs["none"])))
         for v in langs:
-            out = out.when(F.col(column) == v, F.lit(logs[v][i]))
-        return out.otherwise(F.lit(logs["other"][i]))
+            out = out.when(says == v, F.array(*map(F.lit, logs[v])))
+        return out.otherwise(F.array(*map(F.lit, logs["other"])))
 
     trusts = {c: trust(c) for c in ("declared", "suffix")}
-    joined = rows.join(hosts, "host", "left")
-    logs = [F.col("p")[i] + F.coalesce(F.col(f"h{i}"), F.lit(math.log(base[i]))) + told("declared", i) + told("suffix", i) for i in range(k)]
-    scored = joined.select(*keep, "known", F.array_max("p").alias("text_best"), F.col("p"), F.array(*logs).alias("z"))
-    best = F.array_max("z")
+    joined = lookup(rows.withColumn("_host", F.col(f"{EVIDENCE}.host")), hosts, "_host")
+    p = F.col(f"{EVIDENCE}.p")
+    flat = F.array(*(F.lit(math.log(x)) for x in base))
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    scored = joined.withColumn("_z", plus(plus(p, F.coalesce("_prior", flat)), plus(told("declared"), told("suffix"))))
+    best = F.array_max("_z")
     names = F.array(*(F.lit(x) for x in langs))
-    confidence = 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - best))
-    out = scored.select(*keep, "known", names[F.array_position("z", best).cast("int") - 1].alias("best"), confidence.alias("confidence"), names[F.array_position("p", F.col("text_best")).cast("int") - 1].alias("text_lang"))
-    accepted = (F.col("known") >= least_known) & (F.col("confidence") >= least)
-    return out.select(*keep, F.when(accepted, F.col("best")).otherwise(F.lit("und")).alias("lang"), F.col("confidence"), "text_lang", "known", accepted.alias("accepted"))
+    name = lambda a: names[F.array_position(a, F.array_max(a)).cast("int") - 1]
+    confidence = 1 / F.aggregate("_z", F.lit(0.0), lambda a, x: a + F.exp(x - best))
+    known = F.col(f"{EVIDENCE}.known")
+    scored = scored.withColumn("_confidence", confidence)
+    accepted = (known >= least_known) & (F.col("_confidence") >= least)
+    lang = F.when(accepted, name(F.col("_z"))).otherwise(F.lit("und"))
+    return scored.select(*columns, F.struct(lang.alias("lang"), F.col("_confidence").alias("confidence"), name(p).alias("text_lang"), known.alias("known"), accepted.alias("accepted")).alias(FUSED))
 
 
 def identify_pages(pages: DataFrame, model: LanguageModel) -> DataFrame:
@@ -202,11 +221,24 @@ def identify_pages(pages: DataFrame, model: LanguageModel) -> DataFrame:
     Null or empty html has no text and is undetermined; a null url has the empty host. Null and repeated page_ids are
     judged like any other row; further columns are not read.
     """
-    evidence = text_evidence(pages, model, {"page_id": F.col("page_id"), "url": F.col("url")}, F.col("html"), F.col("url"), html=True)
-    return fuse(evidence, model, ["page_id", "url"])
+    found = text_evidence(pages.sparkSession, model, F.col("html"), F.col("url"))
+    return fuse(pages.select("page_id", "url", found.alias(EVIDENCE)), model).select("page_id", "url", f"{FUSED}.*")
+
+
+def _of_documents(documents: DataFrame, model: LanguageModel) -> Column:
+    return text_evidence(documents.sparkSession, model, F.col("text"), F.col("source"), F.lower(F.col("lang"))).alias(EVIDENCE)
 
 
 def identify_documents(documents: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns, lang and so on of every document: its lang column counts as declared, its source as the host."""
-    evidence = text_evidence(documents, model, {c: F.col(c) for c in keep}, F.col("text"), F.col("source"), declared_lang=F.lower(F.col("lang")))
-    return fuse(evidence, model, list(keep))
+    return fuse(documents.select(*keep, _of_documents(documents, model)), model).select(*keep, f"{FUSED}.*")
+
+
+def keep_known(documents: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of documents (all columns) whose language can be told; those without words or of unknown letters go.
+
+    Each row is judged by itself, whatever its doc_id: null ones stay, and a rejected text goes where another row of
+    its doc_id stays.
+    """
+    found = fuse(documents.select("*", _of_documents(documents, model)), model)
+    return found.where(f"{FUSED}.accepted").select(*documents.columns)
