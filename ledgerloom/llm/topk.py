@@ -1,13 +1,14 @@
 """Exact top-k by integer inner products over norm-sorted vectors.
 
-Candidates are dealt by descending length and each task works through its share in that order. Vectors are rotated by
-the right singular vectors of the whole table (from its Gram matrix), so that the first coordinates hold most of the
-length; a candidate is dropped when the partial sum of the first coordinates plus the Cauchy-Schwarz bound of the rest
-(residual length x residual length) can't reach the query's k-th best score so far. What is left is scored exactly in
-integers, and the tasks' best are merged.
-
-The queries go in blocks of bounded size to all tasks; each block starts from the k-th best scores that it reaches
-among the longest candidates.
+Candidates are dealt by descending length and each task works through its share in that order; a query is done with a
+task once its length x the candidates' length can't reach its k-th best score so far, and the task ends when all are.
+Vectors are rotated by the right singular vectors of the whole table (from its Gram matrix), so that the first
+coordinates hold most of the length; a candidate is dropped when the partial sum of the first coordinates plus the
+Cauchy-Schwarz bound of the rest (residual length x residual length) can't reach that score, by HEADS steps. What is left
+is scored exactly in integers, and the tasks' best are merged.
+
+The queries go in blocks of bounded bytes to all tasks, one block after the other, and a block's broadcast goes when it
+is answered; each block starts from the k-th best scores that it reaches among the longest candidates.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import Shared, stash
 
-#: Queries in a block, and candidates in a task and in a step of it.
-QUERY_BLOCK, TASK_ROWS, STEP_ROWS = 4096, 16_384, 2048
-#: Integers up to here are exact as doubles and their products fit a long; larger components are summed as longs.
-EXACT = 2.0**53
+#: Bytes of a block of queries (their integers, and as many for their rotation), candidates in a task and in a step of it,
+#: and queries held against a step at once.
+BLOCK_BYTES, TASK_ROWS, STEP_ROWS, STEP_QUERIES = 1 << 25, 16_384, 2048, 1024
+#: Rotated coordinates that the partial sums take, step by step.
+HEADS = (16, 32)
+#: Vectors must be shorter than this, so that all inner products fit a long.
+LONGEST = 2.0**31
 
 
 def usable(vector: Column, zero: bool = True) -> Column:
@@ -98,40 +102,57 @@ class Best:
         return pd.DataFrame({"query_id": ids[q], "vec_id": self.id[q, at], "score": self.score[q, at]})
 
 
-def _scan(candidates: np.ndarray, ids: np.ndarray, queries: dict, best: Best) -> None:
-    """One step: bounds from the first rotated coordinates, then exact integer products of what is left."""
-    h = queries["head"]
+def _scan(candidates: np.ndarray, ids: np.ndarray, queries: dict, best: Best) -> bool:
+    """One step: bounds from partial sums of rotated coordinates, then exact integer products of what is left.
+
+    False if no query can gain by shorter candidates.
+    """
     rotated = candidates.astype(float) @ queries["rotation"]
-    rest = np.sqrt(np.maximum(0.0, (rotated[:, h:] ** 2).sum(1)))
-    bound = rotated[:, :h] @ queries["rotated"][:, :h].T + np.outer(rest, queries["rest"])
-    slack = 1e-9 * (1.0 + np.outer(np.sqrt((rotated**2).sum(1)), queries["length"]))
-    least = np.maximum(best.floor(), queries["floor"])
-    c, q = np.nonzero(bound + slack >= least)
-    for i in range(0, len(c), 200_000):
-        cc, qq = c[i : i + 200_000], q[i : i + 200_000]
-        score = np.einsum("ij,ij->i", candidates[cc], queries["ints"][qq])
-        keep = (ids[cc] != queries["ids"][qq]) & (score >= np.maximum(best.floor(), queries["floor"])[qq])
-        best.add(qq[keep], ids[cc[keep]], score[keep])
-
-
-def exact_topk(embeddings: DataFrame, k: int = 10, scale: int = 1024, is_query: Column | None = None, head: int = 16) -> DataFrame:
+    lengths = np.sqrt((rotated**2).sum(1))
+    heads = [h for h in queries["heads"] if h < rotated.shape[1]] or [rotated.shape[1]]
+    rest = {h: np.sqrt(np.maximum(0.0, (rotated[:, h:] ** 2).sum(1))) for h in heads}
+    open_ = np.flatnonzero(lengths.max(initial=0.0) * queries["length"] * (1 + 1e-9) + 1e-6 >= np.maximum(best.floor(), queries["floor"]))
+    for j in range(0, len(open_), STEP_QUERIES):
+        own = open_[j : j + STEP_QUERIES]
+        least = np.maximum(best.floor(), queries["floor"])[own]
+        slack = 1e-9 * (1.0 + np.outer(lengths, queries["length"][own]))
+        h = heads[0]
+        sums = rotated[:, :h] @ queries["rotated"][own, :h].T
+        c, q = np.nonzero(sums + np.outer(rest[h], queries["rest"][h][own]) + slack >= least)
+        sums, slack = sums[c, q], slack[c, q]
+        for at, h in zip(heads, heads[1:], strict=False):
+            sums = sums + np.einsum("ij,ij->i", rotated[c, at:h], queries["rotated"][own[q], at:h])
+            keep = sums + rest[h][c] * queries["rest"][h][own[q]] + slack >= least[q]
+            c, q, sums, slack = c[keep], q[keep], sums[keep], slack[keep]
+        for i in range(0, len(c), 200_000):
+            cc, qq = c[i : i + 200_000], own[q[i : i + 200_000]]
+            score = np.einsum("ij,ij->i", candidates[cc], queries["ints"][qq])
+            keep = (ids[cc] != queries["ids"][qq]) & (score >= np.maximum(best.floor(), queries["floor"])[qq])
+            best.add(qq[keep], ids[cc[keep]], score[keep])
+    return len(open_) > 0
+
+
+def exact_topk(embeddings: DataFrame, k: int = 10, scale: int = 1024, is_query: Column | None = None, heads: tuple[int, ...] = HEADS) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query among all other vectors.
 
     Components x become floor(scale * x) as longs. Queries are the rows that is_query selects (vec_id % 100 = 0).
     Vectors that are null or hold null or non-finite components, and rows without vec_id, take no part. Shorter vectors
     count as filled with 0. Ties go to the smaller vec_id; rows that share a query's vec_id count as its own; a vec_id
-    that occurs several times as a query is answered once, by its lexicographically smallest vector.
+    that occurs several times as a query is answered once, by its lexicographically smallest vector. Raises if an
+    integer vector is as long as LONGEST, as its products might not fit a long.
     """
     is_query = F.col("vec_id") % 100 == 0 if is_query is None else is_query
     ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
     rows = embeddings.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("v"))
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     rows = stash(rows.withColumn("length", length), "vectors")
-    size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w"), F.max("length").alias("longest")).first()
     out = "query_id long, vec_id long, score long"
     empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not size["n"]:
         return empty
+    if size["longest"] >= LONGEST**2:
+        raise ValueError(f"a vector is longer than {LONGEST:.0f} after scaling: its inner products may not fit a long")
     width, tasks = max(1, size["w"]), max(1, -(-size["n"] // TASK_ROWS))
     _, vectors = np.linalg.eigh(_gram(rows, width))
     rotation = np.ascontiguousarray(vectors[:, ::-1])
@@ -139,7 +160,7 @@ def exact_topk(embeddings: DataFrame, k: int = 10, scale: int = 1024, is_query:
     number = asked.count()
     if not number:
         return empty
-    blocks = -(-number // QUERY_BLOCK)
+    blocks = -(-number * width * 16 // BLOCK_BYTES)
     longest = rows.orderBy(F.desc("length"), "vec_id").limit(STEP_ROWS).toArrow().to_pandas()
     sorted_rows = rows.repartitionByRange(tasks, F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id")
     sorted_rows = stash(sorted_rows, "sorted") if blocks > 1 else sorted_rows
@@ -150,8 +171,8 @@ def exact_topk(embeddings: DataFrame, k: int = 10, scale: int = 1024, is_query:
             continue
         matrix = padded(found["v"], width, np.int64)
         rotated = matrix.astype(float) @ rotation
-        h = min(head, width)
-        queries = {"ids": found["vec_id"].to_numpy(np.int64), "ints": matrix, "rotation": rotation, "rotated": rotated, "head": h, "rest": np.sqrt((rotated[:, h:] ** 2).sum(1)), "length": np.sqrt((rotated**2).sum(1)), "floor": np.full(len(found), -np.inf)}
+        cut = [h for h in heads if h < width] or [width]
+        queries = {"ids": found["vec_id"].to_numpy(np.int64), "ints": matrix, "rotation": rotation, "rotated": rotated, "heads": cut, "rest": {h: np.sqrt((rotated[:, h:] ** 2).sum(1)) for h in cut}, "length": np.sqrt((rotated**2).sum(1)), "floor": np.full(len(found), -np.inf)}
         first = Best(len(found), k)
         _scan(padded(longest["v"], width, np.int64), longest["vec_id"].to_numpy(np.int64), queries, first)
         queries["floor"] = first.floor()
@@ -160,20 +181,30 @@ def exact_topk(embeddings: DataFrame, k: int = 10, scale: int = 1024, is_query:
         def run(batches, shared=shared):
             asked = shared.value
             best = Best(len(asked["ids"]), k)
+            going = True
             for batch in batches:
-                for i in range(0, len(batch), STEP_ROWS):
+                for i in range(0, len(batch) if going else 0, STEP_ROWS):
                     part = batch.iloc[i : i + STEP_ROWS]
-                    _scan(padded(part["v"], width, np.int64), part["vec_id"].to_numpy(np.int64), asked, best)
+                    going = _scan(padded(part["v"], width, np.int64), part["vec_id"].to_numpy(np.int64), asked, best)
+                    if not going:
+                        break
             yield best.frame(asked["ids"], np.maximum(best.floor(), asked["floor"]))
 
-        parts.append(sorted_rows.select("vec_id", "v").mapInPandas(run, out))
-    merged = reduce(DataFrame.unionAll, parts)
-    return ranked(merged, k)
-
-
-def ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query_id, ties to the smaller vec_id."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        answers = ranked(sorted_rows.select("vec_id", "v").mapInPandas(run, out), k, tasks)
+        parts.append(stash(answers, "answers") if blocks > 1 else answers)
+        if blocks > 1:
+            shared.release()
+    return reduce(DataFrame.unionAll, parts)
+
+
+def ranked(found: DataFrame, k: int, tasks: int = 1) -> DataFrame:
+    """The k best of each query_id, ties to the smaller vec_id; of the rows of many tasks, first within parts of them."""
+    best = (F.desc("score"), "vec_id")
+    parts = max(16, min(64, int(tasks**0.5)))
+    if tasks > 1:
+        part = F.pmod(F.xxhash64("vec_id"), F.lit(parts))
+        found = found.withColumn("_part", part).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*best))).where(F.col("rank") <= k)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*best))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
