@@ -1,27 +1,30 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-The tree (`branch` children a node, `depth` levels) is fitted on a bounded sample; every row is indexed under the leaf
-that its nearest centres lead to. A query walks the tree with a priority queue: the node nearest to it is opened next,
-and leaves come out in order of promise. How many rows' worth of leaves a query visits is calibrated: sample queries
-are answered exactly over all rows, and the visits widen until the recall wanted is reached. Leaves that hold more rows
-than a task's share are dealt to several tasks.
+The tree (`branch` children a node, as many levels as the rows ask for) is fitted on a bounded sample; every row is
+indexed under the leaf that its nearest centres lead to. A query walks the tree with a priority queue: the node nearest
+to it is opened next, and leaves come out in order of promise. How many leaves a query visits is calibrated: sample
+queries are answered exactly over all rows, and the visits widen until the recall wanted is reached.
+
+Queries walk the tree in the tasks that hold them, and travel to their leaves. A leaf's rows are cut into parts and its
+queries into blocks of bounded size, and each task holds one part against one block.
 """
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, fold, stash
-from .topk import QUERY_BLOCK, TASK_ROWS, Best, padded, ranked, usable
+from .common import Shared, fold, release, stash
+from .topk import TASK_ROWS, Best, padded, ranked, usable
 
 STEP_ROWS = 4096
+#: Queries that a task holds against a part of a leaf; rows wanted in a leaf; the tree's levels; rows of the sample a leaf.
+QUERY_BLOCK, LEAF_ROWS, LEVELS, LEAF_SAMPLE = 4096, 8192, (2, 4), 16
 
 
 @dataclass(frozen=True)
@@ -113,32 +116,57 @@ def _search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.ndarray
         best.add(qq[keep], ids[cc[keep]], inner(x[cc[keep]], q[qq[keep]]))
 
 
-def _answers(rows: DataFrame, queries: np.ndarray, query_ids: np.ndarray, visits: list[list[int]] | None, leaves: int, k: int, width: int) -> DataFrame:
-    """query_id, vec_id, score: the best in each task, over the leaves that each query visits (all, if None)."""
-    mask = None
-    if visits is not None:
-        mask = np.zeros((leaves, len(queries)), dtype=bool)
-        for i, own in enumerate(visits):
-            mask[own, i] = True
-    shared = Shared(rows.sparkSession, (queries, query_ids, mask))
+def _exact(rows: DataFrame, queries: np.ndarray, query_ids: np.ndarray, k: int, width: int) -> DataFrame:
+    """query_id, vec_id, score: the best in each task, over all rows, for a bounded number of queries."""
+    shared = Shared(rows.sparkSession, (queries, query_ids))
 
     def run(batches):
-        q, names, visited = shared.value
+        q, names = shared.value
         best = Best(len(q), k, np.float64)
         for batch in batches:
-            x, ids, leaf = padded(batch["v"], width), batch["vec_id"].to_numpy(np.int64), batch["leaf"].to_numpy(np.int64)
-            for n in np.unique(leaf) if visited is not None else [None]:
-                at = np.flatnonzero(leaf == n) if n is not None else np.arange(len(x))
-                which = np.flatnonzero(visited[n]) if n is not None else np.arange(len(q))
-                for i in range(0, len(at) if len(which) else 0, STEP_ROWS):
-                    for j in range(0, len(which), 1024):
-                        _search(x[at[i : i + STEP_ROWS]], ids[at[i : i + STEP_ROWS]], q, names, which[j : j + 1024], best)
+            x, ids = padded(batch["v"], width), batch["vec_id"].to_numpy(np.int64)
+            for i in range(0, len(x), STEP_ROWS):
+                _search(x[i : i + STEP_ROWS], ids[i : i + STEP_ROWS], q, names, np.arange(len(q)), best)
         yield best.frame(names, best.floor())
 
-    return rows.select("vec_id", "leaf", "v").mapInPandas(run, "query_id long, vec_id long, score double")
+    return rows.select("vec_id", "v").mapInPandas(run, "query_id long, vec_id long, score double")
+
 
+def _answers(indexed: DataFrame, asked: DataFrame, shared: Shared, sizes: np.ndarray, visits: int, k: int, width: int) -> DataFrame:
+    """query_id, vec_id, score: the best of each part of the leaves that a query visits."""
+    spark = indexed.sparkSession
 
-def nearest(embeddings: DataFrame, k: int = 20, is_query: Column | None = None, recall: float = 0.97, sample_rows: int = 20_000, calibration: int = 128, branch: int = 8, depth: int = 2) -> DataFrame:
+    def walk(batches):
+        own = shared.value
+        for batch in batches:
+            leaves = [own.order(x, visits, sizes) for x in padded(batch["v"], width)]
+            yield pd.DataFrame({"query_id": batch["vec_id"], "q": batch["v"], "leaf": leaves})
+
+    sent = asked.select("vec_id", "v").mapInPandas(walk, "query_id long, q array<double>, leaf array<long>")
+    sent = stash(sent.select("query_id", "q", F.explode("leaf").alias("leaf")), "visits")
+    load = {r["leaf"]: r["n"] for r in sent.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
+    table = [(leaf, -(-int(sizes[leaf]) // TASK_ROWS), -(-n // QUERY_BLOCK)) for leaf, n in load.items()]
+    leaves = F.broadcast(spark.createDataFrame(table, "leaf long, parts int, blocks int"))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = sent.join(leaves, "leaf").select("leaf", each("parts").alias("part"), deal("query_id", "blocks").alias("block"), "query_id", "q")
+    rows = indexed.join(leaves, "leaf").select("leaf", deal("vec_id", "parts").alias("part"), each("blocks").alias("block"), "vec_id", "v")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names, ids = right["query_id"].to_numpy(np.int64), left["vec_id"].to_numpy(np.int64)
+        best = Best(len(names), k, np.float64)
+        if len(names) and len(ids):
+            q, x = padded(right["q"], width), padded(left["v"], width)
+            for i in range(0, len(x), STEP_ROWS):
+                for j in range(0, len(q), 1024):
+                    _search(x[i : i + STEP_ROWS], ids[i : i + STEP_ROWS], q, names, np.arange(j, min(len(q), j + 1024)), best)
+        return best.frame(names, best.floor())
+
+    keys = ["leaf", "part", "block"]
+    return rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
+
+
+def nearest(embeddings: DataFrame, k: int = 20, is_query: Column | None = None, recall: float = 0.97, sample_rows: int = 20_000, calibration: int = 128, branch: int = 8, depth: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: about the k largest inner products of each query among all other vectors.
 
     Queries are the rows that is_query selects (vec_id % 20 = 0). Vectors that are null, zero or hold null or
@@ -146,7 +174,9 @@ def nearest(embeddings: DataFrame, k: int = 20, is_query: Column | None = None,
     shorter vectors count as filled with 0. Ties go to the smaller vec_id; rows that share a query's vec_id count as
     its own; a vec_id that occurs several times as a query is answered once, by its smallest vector.
 
-    Bounded: the tree's sample (sample_rows), the calibration's queries. The index holds every row.
+    Bounded: the tree's levels (LEVELS, as many as leaves of LEAF_ROWS rows ask for, unless depth is given) and its
+    sample (sample_rows, or LEAF_SAMPLE rows a leaf if those are more), the calibration's queries. The index holds every
+    row.
     """
     is_query = F.col("vec_id") % 20 == 0 if is_query is None else is_query
     spark = embeddings.sparkSession
@@ -155,19 +185,21 @@ def nearest(embeddings: DataFrame, k: int = 20, is_query: Column | None = None,
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not size["n"]:
         return empty
-    width, tasks = size["w"], max(1, -(-size["n"] // TASK_ROWS))
-    share = min(1.0, sample_rows / size["n"])
+    width = size["w"]
+    if depth is None:
+        depth = next((d for d in range(LEVELS[0], LEVELS[1]) if size["n"] <= LEAF_ROWS * branch**d), LEVELS[1])
+    share = min(1.0, max(sample_rows, LEAF_SAMPLE * branch**depth) / size["n"])
     sample = padded(rows.where(fold(F.col("vec_id"), 1_000_000, "tree") < int(share * 1_000_000)).select("v").toArrow().to_pandas()["v"], width)
     tree = fit_tree(sample if len(sample) else np.zeros((1, width)), branch, depth)
     shared_tree = Shared(spark, tree)
 
     def place(batches):
+        own = shared_tree.value
         for batch in batches:
-            yield batch.assign(leaf=shared_tree.value.assign(padded(batch["v"], width)))
+            yield batch.assign(leaf=own.assign(padded(batch["v"], width)))
 
     indexed = rows.mapInPandas(place, "vec_id long, v array<double>, leaf long")
-    # range partitioning by (leaf, id) keeps leaves together and splits large ones
-    indexed = stash(indexed.repartitionByRange(tasks, "leaf", "vec_id").sortWithinPartitions("leaf", "vec_id"), "index")
+    indexed = stash(indexed, "index")
     sizes = np.zeros(tree.leaves, dtype=np.int64)
     for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect():
         sizes[r["leaf"]] = r["n"]
@@ -178,19 +210,15 @@ def nearest(embeddings: DataFrame, k: int = 20, is_query: Column | None = None,
     few = asked.where(fold(F.col("vec_id"), 1_000_000, "calibrate") < int(min(1.0, calibration / number) * 1_000_000) + 1).toArrow().to_pandas()
     few = few if len(few) else asked.limit(1).toArrow().to_pandas()
     visits = _calibrated(indexed, tree, sizes, padded(few["v"], width), few["vec_id"].to_numpy(np.int64), recall, k, width)
-    blocks = -(-number // QUERY_BLOCK)
-    parts = []
-    for block in range(blocks):
-        found = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow().to_pandas()
-        if len(found):
-            q = padded(found["v"], width)
-            parts.append(_answers(indexed, q, found["vec_id"].to_numpy(np.int64), [tree.order(x, visits, sizes) for x in q], tree.leaves, k, width))
-    return ranked(reduce(DataFrame.unionAll, parts), k)
+    found = _answers(indexed, asked, shared_tree, sizes, visits, k, width)
+    out = stash(ranked(found, k, visits), "answers")
+    release(indexed, asked)
+    return out
 
 
 def _calibrated(indexed: DataFrame, tree: Tree, sizes: np.ndarray, q: np.ndarray, ids: np.ndarray, recall: float, k: int, width: int) -> int:
     """The fewest leaves that reach the recall on the sample queries, widened step by step; all leaves at most."""
-    best = ranked(_answers(indexed, q, ids, None, tree.leaves, k, width), k)
+    best = ranked(_exact(indexed, q, ids, k, width), k)
     truth = best.join(indexed.select("vec_id", "leaf").dropDuplicates(["vec_id"]), "vec_id").select("query_id", "leaf").toArrow().to_pandas()
     number = int((sizes > 0).sum())
     place = {(int(i), leaf): p for i, x in zip(ids, q, strict=True) for p, leaf in enumerate(tree.order(x, number, sizes))}
