@@ -12,6 +12,7 @@ few numbers, no rates are stored, and a lost executor loses nothing.
 from __future__ import annotations
 
 import math
+import warnings
 import zlib
 from dataclasses import dataclass
 
@@ -101,7 +102,7 @@ def _rate(steps: list[np.ndarray], k: int) -> Column:
     return rate
 
 
-def fit_rates(rows: DataFrame, domains: tuple[str, ...], targets: dict[str, float] | None = None, temperature: float = 0.5, steps: int = 12, tolerance: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def fit_rates(rows: DataFrame, domains: tuple[str, ...], targets: dict[str, float] | None = None, temperature: float = 0.5, steps: int = 30, tolerance: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The gradient steps, and the expected and the target shares of tokens. rows: n_tokens and p0, p1, ...
 
     targets are weights by domain; without them, the domains' expected shares to the power of temperature. The total
@@ -134,14 +135,16 @@ def fit_rates(rows: DataFrame, domains: tuple[str, ...], targets: dict[str, floa
 def mix(documents: DataFrame, model: DomainModel, keep: list[str], targets: dict[str, float] | None = None) -> DataFrame:
     """keep's columns, n_tokens, domain (the likeliest), rate and copies of every document.
 
-    copies is the rate rounded up or down by a hash of doc_id, or of the text where that is null, so that its
-    expectation is the rate. Documents without words weigh nothing; they keep the rate that their prior gets.
+    copies is the rate rounded up or down by a hash of doc_id and text, so that its expectation is the rate (equal rows
+    share their draw). Documents without words weigh nothing; they keep the rate that their prior gets. Warns where the
+    expected shares of tokens miss the targets by more than a hundredth, as nonnegative rates may not reach them.
     """
     k = len(model.domains)
-    by = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit("copies"), F.col("doc_id"))).otherwise(F.xxhash64(F.lit("copies"), F.col("text")))
-    chance = F.pmod(by, F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64(F.lit("copies"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
     rows = stash(posteriors(documents.withColumn("_chance", chance), model, [*keep, "_chance"]), "posteriors")
-    taken, _, _ = fit_rates(rows, model.domains, targets)
+    taken, now, goal = fit_rates(rows, model.domains, targets)
+    if np.abs(now - goal).max(initial=0.0) > 0.01:
+        warnings.warn(f"expected shares {now.round(4).tolist()} miss the targets {goal.round(4).tolist()}", stacklevel=2)
     top = F.array_position(F.array(*(F.col(f"p{j}") for j in range(k))), F.greatest(*(F.col(f"p{j}") for j in range(k)), F.lit(0.0))).cast("int")
     names = F.array(*(F.lit(d) for d in model.domains))
     out = rows.select(*keep, "_chance", "n_tokens", names[top - 1].alias("domain"), _rate(taken, k).alias("rate"))

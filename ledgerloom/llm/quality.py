@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, labelled, pieces_of, stash
+from .common import dealt_join, fit_logistic, held_out, labelled, lookup, pieces_of, release, stash
 
 _LETTERS = re.compile(r"[^\W\d_]")
 _DIGITS = re.compile(r"\d")
@@ -75,8 +75,6 @@ def fit_quality(documents: DataFrame, labels: DataFrame, max_per_class: int = 80
     """Learns from at most about max_per_class labelled documents of each class, none of them held out.
 
     rate is the share of quality 1 among all labels that are not held out (0.5 without any)."""
-    from .common import held_out
-
     seen = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
     found = _with_features(labelled(documents, labels, "quality", max_per_class, ["text"]), ["y"]).toArrow().to_pandas()
     y = found["y"].to_numpy(float)
@@ -111,8 +109,6 @@ def score_quality(documents: DataFrame, labels: DataFrame, model: QualityModel,
     A null or empty text is scored by its site and the classifier's value for blank texts. Repeated rows count as often
     as they occur; labels of held-out documents are never used; of several labels of a doc_id the largest counts.
     """
-    from .common import held_out
-
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     *w, b = (float(v) for v in model.weights)
@@ -121,15 +117,16 @@ def score_quality(documents: DataFrame, labels: DataFrame, model: QualityModel,
     rows = stash(_with_features(base, ["doc_id", "host", "path"]).select("doc_id", "host", "path", (1 / (1 + F.exp(-z))).alias("evidence")), "quality")
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("double").alias("q"))
     p = F.coalesce(F.col("q"), F.col("evidence"))
-    by_path = stash(rows.join(known, "doc_id", "left").groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("ss")), "paths")
+    by_path = stash(dealt_join(rows, known, "doc_id", "left").groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("ss")), "paths")
     total = by_path.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     rate = total["s"] / total["n"] if total["n"] else model.rate
     by_host = by_path.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).withColumn("parent", F.lit(rate))
     k = _strength(by_host, "parent")
     by_host = stash(by_host.select("host", ((F.col("s") + k * rate) / (F.col("n") + k)).alias("host_rate")), "hosts")
-    sites = by_path.join(by_host, "host")
+    sites = lookup(by_path, by_host, "host", "inner")
     k = _strength(sites, "host_rate")
     sites = stash(sites.select("host", "path", "host_rate", ((F.col("s") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), "sites")
-    scored = rows.join(sites, ["host", "path"])
+    scored = lookup(rows, sites, ["host", "path"], "inner")
+    release(by_path)
     score = 1 / (1 + F.exp(-(_logit(F.col("evidence")) + site_weight * (_logit(F.col("path_rate")) - _logit(F.lit(rate))))))
     return scored.select("doc_id", "evidence", "host_rate", "path_rate", score.alias("score")).withColumn("keep", F.col("score") >= least)

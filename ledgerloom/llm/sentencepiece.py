@@ -34,7 +34,7 @@ _UNITS = re.compile(r" +[^ ]*")
 #: A dictionary of up to so many segments is broadcast; a larger one is dealt to blocks of documents by a join.
 BROADCAST_SEGMENTS = 4_000_000
 #: Longer segments aren't folded.
-FOLD_CHARS = 96
+FOLD_CHARS = 16_384
 #: Characters of documents in a block.
 BLOCK_CHARS = 24_000_000
 
