@@ -137,6 +137,35 @@ def test_topk_brute_force(spark):
         want += [(ids[q], k, ids[i], s[i]) for k, i in enumerate(order, 1)]
     assert sorted(map(tuple, got)) == sorted(want)
     assert topk.exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    with pytest.raises(ValueError, match="longer"):
+        topk.exact_topk(spark.createDataFrame([(0, [4e6] * 2), (1, [3e6] * 2)], "vec_id long, embedding array<double>"))
+
+
+def test_topk_in_blocks(spark, monkeypatch):
+    """Several blocks of queries, tasks and steps give the rows of one."""
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    want = sorted(map(tuple, topk.exact_topk(e, is_query=F.col("vec_id") % 5 == 0).collect()))
+    for name, value in (("BLOCK_BYTES", 1 << 14), ("TASK_ROWS", 100), ("STEP_ROWS", 16), ("STEP_QUERIES", 8)):
+        monkeypatch.setattr(topk, name, value)
+    assert sorted(map(tuple, topk.exact_topk(e, is_query=F.col("vec_id") % 5 == 0).collect())) == want
+
+
+def test_nearest_in_parts(spark, monkeypatch):
+    """Leaves in parts, queries in blocks, ties and repeated rows: with full recall the rows are exact."""
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(60, 6)), 4, axis=0)
+    docs = spark.createDataFrame([(i % 200, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    for name, value in (("TASK_ROWS", 20), ("QUERY_BLOCK", 3), ("STEP_ROWS", 8)):
+        monkeypatch.setattr(ann, name, value)
+    got = collections.defaultdict(list)
+    for r in sorted(ann.nearest(docs, k=5, recall=1.0, calibration=1000, branch=3, depth=2).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.vec_id, r.score))
+    ids = np.arange(240) % 200
+    for q in range(0, 200, 20):
+        own = min(x[ids == q].tolist())
+        s = ann.inner(x, np.repeat(np.array([own]), len(x), 0))
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:5]
+        assert got[q] == [(ids[i], s[i]) for i in order]
 
 
 def test_nearest_recall(spark):
@@ -213,27 +242,75 @@ def test_marginals_are_exact():
     assert np.allclose(html.marginals(parents, unary, pair), weights[1] / weights.sum(0))
 
 
+def area_under_curve(pos, neg):
+    return np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg])
+
+
 def test_toxicity(spark, odd):
-    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/check_s/labels.parquet")
+    """Held-out labels of sf0.1, of which some toxic documents hold no word that tells."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit_toxicity(docs, labels)
     from ledgerloom.llm.common import held_out
 
     found = toxicity.score_toxicity(docs, model).join(labels.select("doc_id", "toxic"), "doc_id").where(held_out(F.col("doc_id"))).collect()
     pos, neg = [r.score for r in found if r.toxic == 1], [r.score for r in found if r.toxic == 0]
-    assert np.mean(np.array(pos) >= 0.3) > 0.97 and np.mean(np.array(neg) >= 0.3) < 0.01
+    assert area_under_curve(pos, neg) > 0.93 and np.mean(np.array(pos) >= 0.3) > 0.6 and np.mean(np.array(neg) >= 0.3) < 0.03
     assert toxicity.score_toxicity(odd, model).where("score between 0 and 1").count() == 9
     assert toxicity.drop_toxic(odd, model).columns == odd.columns
     assert toxicity.score_toxicity(odd.limit(0), toxicity.fit_toxicity(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def brute_kneser_ney(rows, n, d):
+    """P(x | h) of each class from (class, text) rows, and the shared S(x | h), written from the definitions."""
+    pairs = {(y, p, w) for y, t in rows for p, w in zip(["", *t.split()], t.split(), strict=False)}
+    count = collections.Counter()
+    for y, _, w in pairs:
+        word = f" {w} "
+        for i in range(1, len(word)):
+            count[y, word[max(0, i - n + 1) : i], word[i]] += 1
+    seen = {h + x for _, h, x in count}
+    suffixes = {g[i:] for g in seen for i in range(len(g))}
+    before = collections.Counter(g[1:] for g in suffixes if len(g) > 1)
+
+    def shared(h, x):
+        after = {g[-1]: k for g, k in before.items() if g[:-1] == h}
+        low = shared(h[1:], x) if h else 1 / (len({g for g in before if len(g) == 1}) + 1)
+        return max(after.get(x, 0) - d, 0) / sum(after.values()) + d * len(after) / sum(after.values()) * low if after else low
+
+    def own(y, h, x):
+        after = {b: k for (c, a, b), k in count.items() if (c, a) == (y, h)}
+        low = shared(h[1:], x)
+        return max(after.get(x, 0) - d, 0) / sum(after.values()) + d * len(after) / sum(after.values()) * low if after else low
+
+    return own, shared, count
+
+
+def test_kneser_ney_by_brute_force(spark):
+    rows = [(1, "you are an idiot idiot scum"), (1, "scum of idiots are you"), (0, "you are an ideal sum of art"), (0, "idle scouts are an art")]
+    n, d = 4, 0.75
+    own, shared, count = brute_kneser_ney(rows, n, d)
+    grams = toxicity._grams(spark.createDataFrame(rows, "y int, text string"), n)
+    got = {r.g: (r.t, r.o) for r in grams.collect()}
+    assert got == {h + x: (count[1, h, x], count[0, h, x]) for _, h, x in count}
+    low = {r.g: r.low for r in toxicity.shared_probabilities(grams, d).collect()}
+    assert all(abs(low[g] - shared(g[1:-1], g[-1])) < 1e-9 for g in got)
+    letters = sorted({x for _, _, x in count})
+    for h in ("", "i", "id", "are"):
+        rest = 1 / (len(letters) + 1)  # what S leaves for characters never seen
+        assert sum(shared(h, x) for x in letters) < 1 and sum(shared(h, x) for x in letters) > 1 - rest
+    grams_found, _ = toxicity._logs(grams, d, 10_000)
+    for g, e in zip(grams_found["g"], grams_found["e"], strict=True):
+        assert abs(e - np.log(own(1, g[:-1], g[-1]) / own(0, g[:-1], g[-1]))) < 1e-5
+    assert dict(zip(grams_found["g"], grams_found["e"], strict=True))[" sc"] > 0
+
+
 def test_toxicity_keeps_the_share_of_labels_under_the_cap(spark):
     """Texts that say nothing score about the share of toxic labels, whatever the cap on the sample is."""
     rng = np.random.default_rng(5)
     docs = spark.createDataFrame([(i, " ".join(f"word{j}" for j in rng.integers(0, 40, 8))) for i in range(6000)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(rng.random() < 0.1)) for i in range(6000)], "doc_id long, toxic int")
     for cap in (6000, 300):
-        model = toxicity.fit_toxicity(docs, labels, bits=16, max_per_class=cap)
+        model = toxicity.fit_toxicity(docs, labels, max_per_class=cap)
         found = toxicity.score_toxicity(docs, model).agg(F.avg("score").alias("s"), F.avg("predicted").alias("p")).first()
         assert 0.03 < found.s < 0.2 and found.p < 0.2
 
@@ -244,6 +321,8 @@ def test_language(spark, documents, odd):
     assert np.mean([r.lang == r.l for r in found if r.accepted]) > 0.95 and np.mean([r.accepted for r in found]) > 0.95
     got = language.identify_documents(odd, model).collect()
     assert len(got) == 9 and all(not r.accepted for r in got if r.doc_id in (2, 3, 4))
+    assert language.visible("<p>Stra&szlig;e caf&eacute;<script>x</script>") == " Straße café "
+    assert [language.site(h) for h in ("a.b.co.uk", "a.b.de", "b.com", "")] == ["b.co.uk", "b.de", "b.com", ""]
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "http://a.de/x", "<html lang=de><p>der die und nicht", "x")], "page_id long, url string, html string, lang string")
     assert language.identify_pages(pages, model).count() == 2
     assert language.identify_documents(odd.limit(0), model).count() == 0
@@ -293,8 +372,34 @@ def test_quality(documents, labels, odd):
     assert quality.score_quality(odd.limit(0), labels.limit(0), quality.fit_quality(odd.limit(0), labels.limit(0))).count() == 0
 
 
+def test_quality_shrinks_sites(spark):
+    """Sites that differ change the ranking, and a sparse path is drawn to its host."""
+    rng = np.random.default_rng(8)
+    good, bad = "a plain sentence of many sound words .", "x x x x 1 1 1 ! !"
+    rows, marks = [], []
+    for i in range(1200):
+        host = ("good.example", "bad.example")[i % 2]
+        fine = rng.random() < (0.9 if i % 2 == 0 else 0.1)
+        rows.append((i, "\n".join(rng.permutation([good, good, bad] if fine == (rng.random() < 0.8) else [good, bad, bad])), host, "main" if i < 1194 else "rare"))
+        marks.append((i, int(fine), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs, labels)
+    found = quality.score_quality(docs, labels, model).collect()
+    truth = {i: q for i, q, _ in marks}
+    auc = lambda pick: area_under_curve([pick(r) for r in found if truth[r.doc_id]], [pick(r) for r in found if not truth[r.doc_id]])
+    assert auc(lambda r: r.score) > auc(lambda r: r.evidence) + 0.05
+    rates = {(r.doc_id % 2, r.doc_id >= 1194): (r.host_rate, r.path_rate) for r in found}
+    assert rates[0, False][0] > 0.7 > 0.3 > rates[1, False][0]
+    assert abs(rates[0, True][1] - rates[0, True][0]) < 0.2  # three rows move it little from its host
+
+
 def test_mixing(documents, labels, odd):
     model = mixing.fit_domains(documents, labels, F.col("lang"))
+    rows = mixing.posteriors(documents, model, ["doc_id"])
+    steps, now, want = mixing.fit_rates(rows, model.domains, {model.domains[0]: 1.0})
+    assert len(steps) > 1 and now[0] > 0.95  # rates of the others meet 0
+    assert rows.select(mixing._rate(steps, len(model.domains)).alias("r")).where("r = 0").count() > 0
     goal = {d: 1.0 for d in model.domains}
     rows = mixing.posteriors(documents, model, ["doc_id"])
     steps, now, want = mixing.fit_rates(rows, model.domains, goal)
