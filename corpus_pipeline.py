@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import jaccard, language, mixing, queries, sentencepiece, toxicity
-from ledgerloom.llm.common import ROW, keyed, shared_dir, table
+from ledgerloom.llm.common import shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,14 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without words or of unknown letters go.
-
-    Each row is judged by itself, whatever its doc_id: null ones stay, and a rejected text goes where another row of
-    its doc_id stays.
-    """
-    rows = keyed(docs)
-    found = language.identify_documents(rows, language.fit_languages(docs), (ROW,))
-    return rows.join(found.where("accepted").select(ROW), ROW, "left_semi").select(*docs.columns)
+    """Documents whose language can be told; those without words or of unknown letters go."""
+    return language.keep_known(docs, language.fit_languages(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
