@@ -186,24 +186,24 @@ def pieces_of(frame, columns: list[str], chars: int = 4_000_000):
 
 
 class WordTable(dict):
-    """Vectors of words, computed once while they stay in a bounded table."""
+    """Vectors of words, computed once while they stay in a bounded table; vectors: words to their rows."""
 
-    def __init__(self, vector, width: int, size: int = 300_000, chunk: int = 50_000):
+    def __init__(self, vectors, width: int, size: int = 100_000, chunk: int = 20_000):
         super().__init__()
-        self.vector, self.at, self.size, self.chunk = vector, np.zeros((size, width)), size, chunk
-
-    def __missing__(self, word: str) -> int:
-        i = len(self)
-        self.at[i] = self.vector(word)
-        self[word] = i
-        return i
+        self.vectors, self.at, self.size, self.chunk = vectors, np.zeros((size, width)), size, chunk
 
     def rows(self, tokens: list[str]):
         """The tokens' vectors, in blocks of at most `chunk` tokens."""
         for i in range(0, len(tokens), self.chunk):
             part = tokens[i : i + self.chunk]
-            if len(self) + len(part) > self.size:
+            fresh = [w for w in set(part) if w not in self]
+            if len(self) + len(fresh) > self.size:
                 self.clear()
+                fresh = list(set(part))
+            if fresh:
+                n = len(self)
+                self.at[n : n + len(fresh)] = self.vectors(fresh)
+                self.update(zip(fresh, range(n, n + len(fresh)), strict=True))
             yield self.at[np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))]
 
 

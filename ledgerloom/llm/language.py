@@ -47,12 +47,14 @@ def word_logs(m: LanguageModel) -> WordTable:
     """word -> the languages' log-likelihood ratios, n-grams, known n-grams."""
     mask, n = (1 << m.bits) - 1, m.n
 
-    def vector(word: str) -> np.ndarray:
-        padded = f" {word} "
-        ids = [zlib.crc32(padded[i : i + n].encode("utf-8", "replace")) & mask for i in range(max(1, len(padded) - n + 1))]
-        return np.concatenate([m.logp[ids].sum(0), [len(ids), m.seen[ids].sum()]])
-
-    return WordTable(vector, len(m.languages) + 2)
+    def vectors(words: list[str]) -> np.ndarray:
+        padded = [f" {w} " for w in words]
+        sizes = np.array([max(1, len(p) - n + 1) for p in padded])
+        ids = np.array([zlib.crc32(p[i : i + n].encode("utf-8", "replace")) & mask for p, k in zip(padded, sizes.tolist(), strict=True) for i in range(k)])
+        at = np.cumsum(sizes) - sizes
+        return np.column_stack([np.add.reduceat(m.logp[ids].astype(float), at, axis=0), sizes, np.add.reduceat(m.seen[ids].astype(float), at)])
+
+    return WordTable(vectors, len(m.languages) + 2)
 
 
 def fit_languages(documents: DataFrame, text: str = "text", lang: str = "lang", languages: tuple[str, ...] | None = None, n: int = 3, bits: int = 18, max_per_language: int = 3000, strength: float = 2.0, least_rows: int = 5) -> LanguageModel:

@@ -74,7 +74,7 @@ def posteriors(documents: DataFrame, model: DomainModel, keep: list[str], sharpn
     def run(batches):
         m = shared.value
         mask = (1 << m.bits) - 1
-        words = WordTable(lambda w: m.logp[zlib.crc32(w.encode("utf-8", "replace")) & mask], k)
+        words = WordTable(lambda ws: m.logp[[zlib.crc32(w.encode("utf-8", "replace")) & mask for w in ws]], k)
         for batch in batches:
             sizes, found = [], np.zeros((len(batch), k))
             for i, text in enumerate(batch["text"]):
