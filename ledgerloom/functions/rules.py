@@ -67,14 +67,20 @@ def _first(cases: list[tuple[Column, str]], otherwise: Column) -> Column:
 
 def categorise(description: Column, amount: Column) -> Column:
     """Pension plans by sign, then keywords, then income (no refunds), then patterns on the cleaned text, then Other."""
-    low = F.lower(F.coalesce(description, F.lit("")))
-    cleaned = F.lower(F.coalesce(clean_description(description), F.lit("")))
-    plan = low.contains("plan de pensiones")
-    cases = [(plan & (amount < 0), "Savings"), (plan & (amount > 0), "Income")]
-    cases += [(low.contains(k), v) for k, v in KEYWORDS]
-    cases += [((amount > 0) & ~low.contains("devolucion"), "Income")]
-    cases += [(cleaned.rlike(p), v) for v, p in PATTERNS]
-    return _first(cases, F.lit("Other"))
+    text = F.coalesce(description, F.lit(""))
+    # the cascade is a function of one struct, so that the text is lowered and cleaned once and not in each of its cases
+    known = F.struct(F.lower(text).alias("low"), F.lower(clean_description(text)).alias("cleaned"), amount.alias("amount"))
+
+    def cascade(x: Column) -> Column:
+        low, value = x["low"], x["amount"]
+        plan = low.contains("plan de pensiones")
+        cases = [(plan & (value < 0), "Savings"), (plan & (value > 0), "Income")]
+        cases += [(low.contains(k), v) for k, v in KEYWORDS]
+        cases += [((value > 0) & ~low.contains("devolucion"), "Income")]
+        cases += [(x["cleaned"].rlike(p), v) for v, p in PATTERNS]
+        return _first(cases, F.lit("Other"))
+
+    return F.get(F.transform(F.array(known), cascade), F.lit(0))
 
 
 def merchant(description: Column) -> Column:

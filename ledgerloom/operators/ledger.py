@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,14 +106,34 @@ def running_balance(df: DataFrame) -> DataFrame:
     return days.select("date", money(F.sum("s").over(W.orderBy("date").rowsBetween(W.unboundedPreceding, 0))).alias("balance"))
 
 
+def so_far(df: DataFrame, keys: list[str], value: Column, name: str, previous: str | None = None) -> DataFrame:
+    """df with the sum of value over the rows of its keys up to each row, by date and txn_id; rows without a date go.
+
+    The days of a key are summed first, and a running sum over them is added to one within the day, so that no task
+    holds more than a key's days or a day's rows of a key. previous: also the date of the key's row before.
+    """
+    rows = df.where("date is not null")
+    days = rows.groupBy(*keys, "date").agg(F.sum(value).alias("_s"))
+    w = W.partitionBy(*keys).orderBy("date")
+    days = days.select(*keys, "date", F.coalesce(F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lag("date").over(w).alias("_previous"))
+    days = days.select(*(F.col(c).alias(f"_{c}") for c in (*keys, "date")), "_before", "_previous")
+    inside = W.partitionBy(*keys, "date").orderBy("txn_id")
+    out = rows.withColumn(name, F.sum(value).over(inside.rowsBetween(W.unboundedPreceding, 0))).withColumn("_first", F.row_number().over(inside) == 1)
+    out = out.join(days, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, "date")))).withColumn(name, F.col(name) + F.col("_before"))
+    if previous:
+        out = out.withColumn(previous, F.when(F.col("_first"), F.col("_previous")).otherwise(F.col("date")))
+    return out.drop("_first", "_before", "_previous", "_date", *(f"_{c}" for c in keys))
+
+
 def visits(df: DataFrame) -> DataFrame:
-    w = W.partitionBy("merchant").orderBy("date", "txn_id")
-    return df.select("txn_id", "merchant", F.row_number().over(w).alias("visit"), F.datediff("date", F.lag("date").over(w)).alias("days_since"))
+    rows = so_far(df, ["merchant"], F.lit(1), "visit", "before")
+    return rows.select("txn_id", "merchant", F.col("visit").cast("int").alias("visit"), F.datediff("date", "before").alias("days_since"))
 
 
 def running_category(df: DataFrame) -> DataFrame:
-    w = W.partitionBy("month", "category").orderBy("date", "txn_id").rowsBetween(W.unboundedPreceding, 0)
-    return calendar(df).select("txn_id", "month", "category", money(F.sum(F.coalesce(expense(), F.lit(0.0))).over(w)).alias("so_far"))
+    """Spending of each row's category so far, by month number, whatever the year."""
+    rows = so_far(calendar(df), ["month", "category"], F.coalesce(expense(), F.lit(0.0)), "so_far")
+    return rows.select("txn_id", "month", "category", money(F.col("so_far")).alias("so_far"))
 
 
 def recurrence(df: DataFrame, least: float = 0.6) -> DataFrame:
@@ -142,10 +164,11 @@ def identifiers(df: DataFrame) -> DataFrame:
 
 
 def amount_bands(df: DataFrame) -> DataFrame:
-    typical = F.round(F.avg(F.abs("amount")).over(W.partitionBy("merchant")), 2)
+    typical = df.groupBy(F.col("merchant").alias("_merchant")).agg(F.round(F.avg(F.abs("amount")), 2).alias("typical"))
     size = F.abs("amount")
     band = F.when(size > 1.5 * F.col("typical"), "high").when(size < 0.5 * F.col("typical"), "low").otherwise("typical")
-    return df.withColumn("typical", typical).select("txn_id", "typical", band.alias("band"), (F.dayofmonth("date") >= 25).alias("month_end"))
+    rows = df.join(typical, F.col("merchant").eqNullSafe(F.col("_merchant")))
+    return rows.select("txn_id", "typical", band.alias("band"), (F.dayofmonth("date") >= 25).alias("month_end"))
 
 
 def cosine_topk(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
@@ -154,20 +177,11 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int = 10) -> DataFram
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     v = F.col("embedding")
     score = dot(v, q) / F.sqrt(dot(v, v) * dot(q, q))
-    return vectors.select("vec_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+    return vectors.select("vec_id", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(k).withColumn("score", F.round("score", 6))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """Degree and weight of every vertex of undirected edges (src, dst)."""
-    ends = edges.select("src", "dst").distinct()
+    """Degree of every vertex of undirected edges (src, dst): (a, b) and (b, a) are one edge, a loop counts twice."""
+    ends = edges.where("src is not null and dst is not null").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     both = ends.select(F.col("src").alias("id")).unionAll(ends.select(F.col("dst").alias("id")))
     return both.groupBy("id").agg(F.count("*").alias("degree"))
-
-
-def month_chunks(df: DataFrame) -> DataFrame:
-    """A text for each month, from its totals and its three largest categories; a month without expenses has none."""
-    top = month_distribution(df).where("rank <= 3").groupBy("year", "month").agg(F.array_sort(F.collect_list(F.struct("rank", "category", "spent"))).alias("t"))
-    names = F.array_join(F.transform("t", lambda x: F.concat(x["category"], F.lit(" "), F.format_string("%.2f", x["spent"]))), ", ")
-    names = F.coalesce(names, F.lit(""))
-    text = F.concat(F.format_string("%d-%02d: %d transactions, income %.2f, expenses %.2f, net %.2f. Top: ", "year", "month", "n", "income", "expenses", "net"), names)
-    return monthly(df.where(F.col("date").isNotNull())).join(top, ["year", "month"], "left").select(F.format_string("month_%d_%02d", "year", "month").alias("chunk_id"), text.alias("text"))

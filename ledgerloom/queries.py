@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from .functions import pii, rules
 from .operators import graph, refine
 from .operators import ledger as ops
+from .plans import answers
+from .plans import chunks as chunk_plans
+from .plans.chunks import TEXTS
 
 FLAGSHIP = "agg_monthly"
 
@@ -34,11 +37,8 @@ LEDGER_SQL = """WITH ledger AS (SELECT o_orderkey AS txn_id, o_orderdate::DATE A
 """
 TOTALS = """count(*) AS n, round(coalesce(sum(amount) FILTER (amount > 0), 0), 2) AS income,
   round(coalesce(sum(-amount) FILTER (amount < 0), 0), 2) AS expenses, round(coalesce(sum(amount), 0), 2) AS net"""
-#: Descriptions to classify: words of a part's name, and statement words chosen by its key.
-# Statement texts of the fixture.
-TEXTS = ("COMPRA EN MERCADONA", "PAGO CON TARJETA EN ZARA MADRID", "NOMINA JULIO", "TRASPASO CUENTA", "RECIBO DE LUZ ENDESA", "TRANSFERENCIA DE PEPE", "BAR LA PLAZA", "PLAN DE PENSIONES", "CAJERO 1234567890123", "DEVOLUCION AMAZON", "GITHUB SUBSCRIPTION", "TAXI ****1234")
-
 
+#: Descriptions to classify are TEXTS, chosen by a part's key, and its brand.
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     text = F.concat(F.get(F.array(*(F.lit(t) for t in TEXTS)), (F.col("p_partkey") % len(TEXTS)).cast("int")), F.lit(" "), F.col("p_brand"))
@@ -73,9 +73,18 @@ SELECT id, cleaned, CASE WHEN contains(low, 'plan de pensiones') AND amount < 0
   WHEN amount > 0 AND NOT contains(low, 'devolucion') THEN 'Income' {patterns} ELSE 'Other' END AS category FROM c"""
 
 
+def _merchants_sql() -> str:
+    known = " ".join(f"WHEN contains(low, '{k}') THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in rules.MERCHANTS)
+    title = lambda w: f"upper(substr({w}, 1, 1)) || lower(substr({w}, 2))"
+    return f"""WITH d AS (SELECT p_partkey AS id, ([{', '.join(f"'{t}'" for t in TEXTS)}])[(p_partkey % {len(TEXTS)})::INTEGER + 1] || ' ' || p_brand AS description FROM part),
+w AS (SELECT id, lower(description) AS low, string_split(description, ' ') AS w FROM d),
+f AS (SELECT *, list_filter(w[3:], lambda x: length(x) > 3 AND lower(x) <> 'tarjeta')[1] AS card, list_filter(w, lambda x: length(x) > 3 AND lower(x) NOT IN ('pago', 'con', 'tarjeta', 'compra'))[1] AS first FROM w)
+SELECT id, CASE {known} WHEN (contains(low, 'pago con tarjeta') OR contains(low, 'compra tarjeta')) AND card IS NOT NULL THEN {title('card')} WHEN contains(low, 'transferencia') THEN 'Transfer' WHEN first IS NOT NULL THEN {title('first')} ELSE 'Unknown' END AS merchant FROM f"""
+
+
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", pii.entity_counts(F.col("text")).alias("entities"), F.md5(pii.mask(F.col("text"))).alias("masked_md5"))
+    d = table(spark, sf_dir, "documents").select("doc_id", pii.analyse(F.col("text")).alias("x"))
+    return d.select("doc_id", F.col("x.n").cast("bigint").alias("entities"), F.md5("x.masked").alias("masked_md5"))
 
 
 def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +180,6 @@ _PAIRS = {
       SELECT year, month, category, round(s, 2) AS spent, round(100.0 * s / sum(s) OVER (PARTITION BY year, month), 4) AS percent, (row_number() OVER (PARTITION BY year, month ORDER BY s DESC, category))::INTEGER AS rank FROM g"""),
     "agg_peak_weekday": (ops.peak_weekday, ", g AS (SELECT category, weekday, round(sum(-amount), 2) AS s FROM ledger WHERE amount < 0 GROUP BY ALL) SELECT category, arg_max(weekday, (s, -weekday)) AS peak_weekday FROM g GROUP BY category"),
     "agg_heaviest_day": (ops.heaviest_day, ", g AS (SELECT year, month, date, round(sum(amount), 2) AS s FROM ledger WHERE amount < 0 GROUP BY ALL) SELECT year, month, arg_min(date, (s, date)) AS day, -min(s) AS spent FROM g GROUP BY year, month"),
-    "agg_high_amounts": (ops.high_amounts, "SELECT txn_id, merchant, round(-amount, 2) AS spent FROM ledger WHERE amount < 0 AND -amount > (SELECT avg(-amount) + 3.0 * stddev_samp(-amount) FROM ledger WHERE amount < 0)"),
-    "win_new_merchants": (ops.new_merchants, ", f AS (SELECT *, row_number() OVER (PARTITION BY merchant ORDER BY date, txn_id) AS r FROM ledger) SELECT merchant, txn_id, date, round(abs(amount), 2) AS size FROM f WHERE r = 1 AND abs(amount) > 2.0 * (SELECT avg(-amount) FROM ledger WHERE amount < 0)"),
     "win_running_balance": (ops.running_balance, ", g AS (SELECT date, sum(amount) AS s FROM ledger GROUP BY date) SELECT date, round(sum(s) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 2) AS balance FROM g"),
     "win_visits": (ops.visits, "SELECT txn_id, merchant, (row_number() OVER w)::INTEGER AS visit, date_diff('day', lag(date) OVER w, date)::INTEGER AS days_since FROM ledger WINDOW w AS (PARTITION BY merchant ORDER BY date, txn_id)"),
     "win_running_category": (ops.running_category, "SELECT txn_id, month, category, round(sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) OVER (PARTITION BY month, category ORDER BY date, txn_id ROWS UNBOUNDED PRECEDING), 2) AS so_far FROM ledger"),
@@ -185,8 +192,6 @@ _PAIRS = {
     "prj_identifiers": (ops.identifiers, "SELECT txn_id, substr(md5(strftime(date, '%Y-%m-%d') || '|' || merchant || '|' || txn_id::VARCHAR), 1, 12) AS chunk_id, printf('weekly_%d_w%02d', year, week) AS week_id, strftime(date, '%d/%m/%Y') AS shown FROM ledger"),
     "cls_amount_bands": (ops.amount_bands, ", g AS (SELECT *, round(avg(abs(amount)) OVER (PARTITION BY merchant), 2) AS typical FROM ledger) SELECT txn_id, typical, CASE WHEN abs(amount) > 1.5 * typical THEN 'high' WHEN abs(amount) < 0.5 * typical THEN 'low' ELSE 'typical' END AS band, day(date) >= 25 AS month_end FROM g"),
     "prj_calendar": (lambda df: ops.calendar(df).select("txn_id", "weekday", "month", "year", "week", "is_weekend", "is_income"), "SELECT txn_id, weekday, month, year, week, weekday >= 5 AS is_weekend, amount > 0 AS is_income FROM ledger"),
-    "chk_months": (ops.month_chunks, None),
-    "prj_rag_records": (refine.rag_records, "SELECT txn_id, strftime(date, '%Y-%m-%d') AS fecha, abs(amount) AS importe, CASE WHEN amount < 0 THEN 'gasto' ELSE 'ingreso' END AS tipo, 'otros' AS categoria FROM ledger"),
     "prj_compact_lines": (lambda df: df.select("txn_id", refine.compact_line(F.col("txn_id"), F.col("date"), F.col("merchant"), F.col("amount")).alias("line")), "SELECT txn_id, concat_ws('|', txn_id::VARCHAR, strftime(date, '%Y-%m-%d'), merchant, CASE WHEN amount > 0 THEN '+' ELSE '-' END || printf('€%.2f', abs(amount))) AS line FROM ledger"),
     "emb_prepared": (lambda df: df.select("txn_id", refine.embedding_text(F.lit("categorical"), F.col("merchant"), F.col("category"), F.lit("")).alias("text")), "SELECT txn_id, '[' || category || '] ' || merchant AS text FROM ledger"),
     "agg_embedding_cost": (lambda df: refine.embedding_cost(df, "merchant"), "SELECT count(*) AS chunks, sum(length(merchant))::BIGINT AS chars, sum(length(merchant)) / 4.0 AS tokens, round(sum(length(merchant)) / 4.0 / 1000 * 0.00002::DOUBLE, 8) AS cost FROM ledger"),
@@ -196,7 +201,7 @@ _PAIRS = {
     "gra_neighbours": (lambda df: graph.neighbours(graph.ledger_edges(df)), GRAPH_SQL + "SELECT id, count(*) AS degree, array_to_string(list_slice(list_sort(list(other)), 1, 3), ', ') AS first FROM z GROUP BY id"),
 }
 
-QUERIES = {name: _on_ledger(f) for name, (f, _) in _PAIRS.items()} | {
+QUERIES = {name: _on_ledger(f) for name, (f, _) in _PAIRS.items()} | chunk_plans.QUERIES | answers.QUERIES | {
     "cls_categories": _categories,
     "cls_merchants": _merchants,
     "pii_masked_documents": _masked,
@@ -212,8 +217,9 @@ QUERIES = {name: _on_ledger(f) for name, (f, _) in _PAIRS.items()} | {
     "cls_node_types": _node_types,
 }
 
-ORACLES = {name: LEDGER_SQL + sql for name, (_, sql) in _PAIRS.items() if sql} | {
+ORACLES = {name: LEDGER_SQL + sql for name, (_, sql) in _PAIRS.items() if sql} | chunk_plans.ORACLES | answers.oracles() | {
     "cls_categories": _categories_sql(),
+    "cls_merchants": _merchants_sql(),
     "vec_cosine_topk": """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
       s AS (SELECT vec_id, list_sum(list_transform(generate_series(1, len(e)), lambda i: embedding[i]::DOUBLE * e[i]::DOUBLE)) AS d,
         list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS a, list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE)) AS b FROM embeddings, q)

@@ -72,14 +72,3 @@ def test_files(spark, tmp_path):
     sinks.write_chunks_by_type(chunks, str(tmp_path / "chunks"))
     assert spark.read.json(str(tmp_path / "chunks")).count() == 2
     assert {tuple(r) for r in sinks.chunk_report(chunks).collect()} == {("daily", 1, 3), ("weekly", 1, 2)}
-
-
-def test_month_chunks_of_months_without_expenses(spark):
-    from ledgerloom.operators import ledger
-
-    rows = [(1, datetime.date(2024, 1, 5), "a", "food", -10.0), (2, datetime.date(2024, 2, 5), "b", "pay", 100.0), (3, None, "b", "pay", 7.0)]
-    found = {r.chunk_id: r.text for r in ledger.month_chunks(spark.createDataFrame(rows, "txn_id long, date date, merchant string, category string, amount double")).collect()}
-    assert found == {
-        "month_2024_01": "2024-01: 1 transactions, income 0.00, expenses 10.00, net -10.00. Top: food 10.00",
-        "month_2024_02": "2024-02: 1 transactions, income 100.00, expenses 0.00, net 100.00. Top: ",
-    }
