@@ -164,7 +164,8 @@ def identifiers(df: DataFrame) -> DataFrame:
 
 
 def amount_bands(df: DataFrame) -> DataFrame:
-    typical = df.groupBy(F.col("merchant").alias("_merchant")).agg(F.round(F.avg(F.abs("amount")), 2).alias("typical"))
+    cents = F.sum(F.rint(F.abs("amount") * 100).cast("long"))  # sums of integers are the same in any order
+    typical = df.groupBy(F.col("merchant").alias("_merchant")).agg((F.rint(cents.cast("double") / F.count("amount")) / 100).alias("typical"))
     size = F.abs("amount")
     band = F.when(size > 1.5 * F.col("typical"), "high").when(size < 0.5 * F.col("typical"), "low").otherwise("typical")
     rows = df.join(typical, F.col("merchant").eqNullSafe(F.col("_merchant")))

@@ -190,7 +190,7 @@ _PAIRS = {
       SELECT *, CASE WHEN expenses > 1.2 * before THEN 'up' WHEN expenses < 0.8 * before THEN 'down' WHEN before IS NOT NULL THEN 'steady' END AS band FROM h"""),
     "top_merchants_by_week": (ops.top_merchants_by_week, ", g AS (SELECT year, week, merchant, round(sum(-amount), 2) AS spent FROM ledger WHERE amount < 0 GROUP BY ALL), h AS (SELECT *, (row_number() OVER (PARTITION BY year, week ORDER BY spent DESC, merchant))::INTEGER AS rank FROM g) SELECT * FROM h WHERE rank <= 3"),
     "prj_identifiers": (ops.identifiers, "SELECT txn_id, substr(md5(strftime(date, '%Y-%m-%d') || '|' || merchant || '|' || txn_id::VARCHAR), 1, 12) AS chunk_id, printf('weekly_%d_w%02d', year, week) AS week_id, strftime(date, '%d/%m/%Y') AS shown FROM ledger"),
-    "cls_amount_bands": (ops.amount_bands, ", g AS (SELECT *, round(avg(abs(amount)) OVER (PARTITION BY merchant), 2) AS typical FROM ledger) SELECT txn_id, typical, CASE WHEN abs(amount) > 1.5 * typical THEN 'high' WHEN abs(amount) < 0.5 * typical THEN 'low' ELSE 'typical' END AS band, day(date) >= 25 AS month_end FROM g"),
+    "cls_amount_bands": (ops.amount_bands, ", g AS (SELECT *, round_even(sum(round(abs(amount) * 100)::BIGINT) OVER (PARTITION BY merchant)::DOUBLE / count(amount) OVER (PARTITION BY merchant), 0) / 100 AS typical FROM ledger) SELECT txn_id, typical, CASE WHEN abs(amount) > 1.5 * typical THEN 'high' WHEN abs(amount) < 0.5 * typical THEN 'low' ELSE 'typical' END AS band, day(date) >= 25 AS month_end FROM g"),
     "prj_calendar": (lambda df: ops.calendar(df).select("txn_id", "weekday", "month", "year", "week", "is_weekend", "is_income"), "SELECT txn_id, weekday, month, year, week, weekday >= 5 AS is_weekend, amount > 0 AS is_income FROM ledger"),
     "prj_compact_lines": (lambda df: df.select("txn_id", refine.compact_line(F.col("txn_id"), F.col("date"), F.col("merchant"), F.col("amount")).alias("line")), "SELECT txn_id, concat_ws('|', txn_id::VARCHAR, strftime(date, '%Y-%m-%d'), merchant, CASE WHEN amount > 0 THEN '+' ELSE '-' END || printf('€%.2f', abs(amount))) AS line FROM ledger"),
     "emb_prepared": (lambda df: df.select("txn_id", refine.embedding_text(F.lit("categorical"), F.col("merchant"), F.col("category"), F.lit("")).alias("text")), "SELECT txn_id, '[' || category || '] ' || merchant AS text FROM ledger"),
