@@ -279,9 +279,7 @@ def extract(html: str | None, model: HtmlModel) -> str:
         elif part.tag not in HIDDEN:
             if part.tag in BLOCKS:
                 flush()
-                inside_part = bool(p[part.place] > 0.5)
-            else:
-                inside_part = inside and bool(p[part.place] > 0.5 or part.tag not in BLOCKS)
+            inside_part = bool(p[part.place] > 0.5) and (inside or part.tag in BLOCKS)
             stack.append((part, iter(part.parts), inside_part))
         elif part.tag in BLOCKS:
             flush()
@@ -315,6 +313,8 @@ def training_pages() -> list[str]:
         f"<p>Short.</p><blockquote><p>{prose}</p></blockquote><p>See <a href='/q'>the mill</a> and <b>the road</b>.</p><p>{prose * 4}</p>",
         f"<h1>Title</h1><div><p>{prose * 2}</p><table><tr><td>Length</td><td>12 miles</td></tr></table></div><pre>line one\nline two</pre>",
         f"<p><b>{prose}<br><p>{prose * 3}</p><h3>End</h3><p>Yes.</p>",
+        f"<p>{prose} <span class='ad' data-content='0'>Buy now</span> and <em>so</em> <a href='/l'>on and on</a>, <code>x</code>.</p><p><span>{prose}</span> <i>then</i> <span class='promo' data-content='0'>An offer for you</span></p>",
+        f"<p><strong>Dateline.</strong> <span class='lead'>{prose}</span><sup><a href='#n'>1</a></sup></p><p><a href='/whole'>A link alone</a></p><p>{prose * 2}<span class='sponsored-link' data-content='0'><a href='/s'>Sponsored</a></span></p>",
     )
     inner = ("", '<aside class="related" data-content="0"><a href="/m">More on this</a></aside>', '<div class="share" data-content="0"><a href="/f">Share</a> <a href="/t">Send</a></div>', '<div class="ad" data-content="0"><p>An offer for readers of this page only.</p></div>', '<form data-content="0"><p>Get our letter by mail</p><input></form>', '<nav data-content="0"><ol><li><a href="#1">First</a></li><li><a href="#2">Second</a></li></ol></nav>')
     out = []

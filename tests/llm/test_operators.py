@@ -230,6 +230,28 @@ def test_html_keeps_what_follows_icons_and_lies_in_wrappers():
     assert html.extract(f"<html><body>{article}<form><p>Our letter by mail</p></form></body></html>", model) == want
 
 
+def test_html_inline_adverts_go():
+    model = html.fit_html(html.training_pages())
+    prose = "A long walk through the woods and over the hill brought them to the lake, where the boats lay."
+    page = f"<html><body><article><p>{prose} <span class=ad>BUY NOW</span>It was <em>late</em>, <a href='/x'>the road</a> <b>dark</b>.</p><p>{prose}</p></article></body></html>"
+    assert html.extract(page, model) == f"{prose} It was late, the road dark.\n{prose}"
+
+
+def test_extract_pages_odd(spark):
+    prose = "A long walk through the woods and over the hill brought them to the lake, where the boats lay."
+    long = "<article>" + "".join(f"<p>{prose} {i}</p>" for i in range(3000)) + "</article>"
+    rows = [(1, "http://a/", None, "t"), (1, "http://a/", "", "t"), (None, None, f"<article><p>{prose}</p></article>", "t"), (2, "u", long, None), (2, "u", long, None)]
+    got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r.page_id or 0, r.n_chars, len(r.text)) for r in got) == [(0, len(prose), len(prose)), (1, 0, 0), (1, 0, 0), *[(2, len(got[-1].text), len(got[-1].text))] * 2]
+    assert got[-1].text.count("\n") == 2999
+    assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_urls_odd(spark):
+    rows = spark.createDataFrame([(1, "http://b.org/x")] * 3, "page_id long, url string")
+    assert urls.filter_urls(rows).count() == 3 and urls.filter_urls(rows.limit(0)).count() == 0
+
+
 def test_marginals_are_exact():
     """Sum-product on a tree equals the sum over all states."""
     rng = np.random.default_rng(3)
