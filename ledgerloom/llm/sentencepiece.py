@@ -430,7 +430,8 @@ def encode(documents: DataFrame, table: PieceTable, packed: bool = False, broadc
 
     size = documents.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_CHARS))
-    dealt = documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text")
+    # dealt in turn, so that repeated rows spread, and written, so that both readings give a row the same block
+    dealt = stash(documents.select(F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).alias("block"), "doc_id", "text"), "dealt")
     needed = _distinct_segments(dealt, joints, block=True).join(dictionary, "segment")
 
     def run_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
