@@ -4,8 +4,8 @@ Candidates are dealt by descending length and each task works through its share
 task once its length x the candidates' length can't reach its k-th best score so far, and the task ends when all are.
 Vectors are rotated by the right singular vectors of the whole table (from its Gram matrix), so that the first
 coordinates hold most of the length; a candidate is dropped when the partial sum of the first coordinates plus the
-Cauchy-Schwarz bound of the rest (residual length x residual length) can't reach that score, by HEADS steps. What is left
-is scored exactly in integers, and the tasks' best are merged.
+Cauchy-Schwarz bound of the rest (residual length x residual length) can't reach that score. How many coordinates come
+first follows from the singular values (RESTS). What is left is scored exactly in integers, and the tasks' best are merged.
 
 The queries go in blocks of bounded bytes to all tasks, one block after the other, and a block's broadcast goes when it
 is answered; each block starts from the k-th best scores that it reaches among the longest candidates.
@@ -25,8 +25,9 @@ from .common import Shared, stash
 #: Bytes of a block of queries (their integers, and as many for their rotation), candidates in a task and in a step of it,
 #: and queries held against a step at once.
 BLOCK_BYTES, TASK_ROWS, STEP_ROWS, STEP_QUERIES = 1 << 25, 16_384, 2048, 1024
-#: Rotated coordinates that the partial sums take, step by step.
-HEADS = (16, 32)
+#: Shares of the squared lengths that may be left beyond the rotated coordinates of each step of the partial sums. A matrix
+#: product is far cheaper than picking pairs, so few pairs should be left after the first step.
+RESTS = (0.1,)
 #: Vectors must be shorter than this, so that all inner products fit a long.
 LONGEST = 2.0**31
 
@@ -109,7 +110,7 @@ def _scan(candidates: np.ndarray, ids: np.ndarray, queries: dict, best: Best) ->
     """
     rotated = candidates.astype(float) @ queries["rotation"]
     lengths = np.sqrt((rotated**2).sum(1))
-    heads = [h for h in queries["heads"] if h < rotated.shape[1]] or [rotated.shape[1]]
+    heads = queries["heads"]
     rest = {h: np.sqrt(np.maximum(0.0, (rotated[:, h:] ** 2).sum(1))) for h in heads}
     open_ = np.flatnonzero(lengths.max(initial=0.0) * queries["length"] * (1 + 1e-9) + 1e-6 >= np.maximum(best.floor(), queries["floor"]))
     for j in range(0, len(open_), STEP_QUERIES):
@@ -132,7 +133,7 @@ def _scan(candidates: np.ndarray, ids: np.ndarray, queries: dict, best: Best) ->
     return len(open_) > 0
 
 
-def exact_topk(embeddings: DataFrame, k: int = 10, scale: int = 1024, is_query: Column | None = None, heads: tuple[int, ...] = HEADS) -> DataFrame:
+def exact_topk(embeddings: DataFrame, k: int = 10, scale: int = 1024, is_query: Column | None = None, rests: tuple[float, ...] = RESTS) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query among all other vectors.
 
     Components x become floor(scale * x) as longs. Queries are the rows that is_query selects (vec_id % 100 = 0).
@@ -154,8 +155,10 @@ def exact_topk(embeddings: DataFrame, k: int = 10, scale: int = 1024, is_query:
     if size["longest"] >= LONGEST**2:
         raise ValueError(f"a vector is longer than {LONGEST:.0f} after scaling: its inner products may not fit a long")
     width, tasks = max(1, size["w"]), max(1, -(-size["n"] // TASK_ROWS))
-    _, vectors = np.linalg.eigh(_gram(rows, width))
+    values, vectors = np.linalg.eigh(_gram(rows, width))
     rotation = np.ascontiguousarray(vectors[:, ::-1])
+    held = np.cumsum(np.maximum(values[::-1], 0.0))
+    heads = sorted({min(width, int(np.searchsorted(held, (1 - share) * held[-1])) + 1) for share in rests})
     asked = stash(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     number = asked.count()
     if not number:
@@ -171,8 +174,7 @@ def exact_topk(embeddings: DataFrame, k: int = 10, scale: int = 1024, is_query:
             continue
         matrix = padded(found["v"], width, np.int64)
         rotated = matrix.astype(float) @ rotation
-        cut = [h for h in heads if h < width] or [width]
-        queries = {"ids": found["vec_id"].to_numpy(np.int64), "ints": matrix, "rotation": rotation, "rotated": rotated, "heads": cut, "rest": {h: np.sqrt((rotated[:, h:] ** 2).sum(1)) for h in cut}, "length": np.sqrt((rotated**2).sum(1)), "floor": np.full(len(found), -np.inf)}
+        queries = {"ids": found["vec_id"].to_numpy(np.int64), "ints": matrix, "rotation": rotation, "rotated": rotated, "heads": heads, "rest": {h: np.sqrt((rotated[:, h:] ** 2).sum(1)) for h in heads}, "length": np.sqrt((rotated**2).sum(1)), "floor": np.full(len(found), -np.inf)}
         first = Best(len(found), k)
         _scan(padded(longest["v"], width, np.int64), longest["vec_id"].to_numpy(np.int64), queries, first)
         queries["floor"] = first.floor()
