@@ -150,13 +150,16 @@ def _number(c: Column) -> Column:
 def transaction_narratives(df: DataFrame) -> DataFrame:
     """A text for each transaction, with its merchant's typical amount and visit, and its category's spending so far.
 
-    The merchant's typical amount is the mean of its expenses (0 counts as one); visits count all its rows so far, and
-    the category's spending is by month number, whatever the year.
+    The merchant's typical amount is the mean of its expenses (0 counts as one), summed by txn_id: a mean may be half a
+    cent, which sums in another order round otherwise. Visits count all its rows so far, and the category's spending is
+    by month number, whatever the year.
     """
     columns = {"description": "string", "balance": "double", "notes": "string"}
     df = df.where("date is not null").select("txn_id", "date", "amount", "merchant", "category", *((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
     paid = F.col("amount") <= 0
-    profile = df.where(paid & F.col("merchant").isNotNull()).groupBy("merchant").agg(F.avg(F.abs("amount")).alias("mean"), F.count("*").alias("visits"))
+    by_id = W.partitionBy("merchant").orderBy("txn_id", "amount").rowsBetween(W.unboundedPreceding, 0)
+    sums = df.where(paid & F.col("merchant").isNotNull()).select("merchant", F.sum(F.abs("amount")).over(by_id).alias("s"))
+    profile = sums.groupBy("merchant").agg((F.max("s") / F.count("*")).alias("mean"), F.count("*").alias("visits"))
     rows = L.so_far(df, ["merchant"], F.lit(1), "visit")
     rows = L.so_far(rows.withColumn("month", F.month("date")), ["month", "category"], F.coalesce(L.expense(), F.lit(0.0)), "so_far").withColumn("so_far", F.round("so_far", 2))
     rows = rows.join(profile, "merchant", "left")

@@ -1,4 +1,5 @@
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,29 @@ def test_running_sums_by_days(spark):
     assert 99 not in got
 
 
+def test_typical_amounts_in_any_order(spark):
+    """A typical amount of half a cent doesn't hang on how rows lie in partitions: amounts are summed by txn_id."""
+    sizes = [0.1, 0.7, 1.3, 33.33, 0.01, 250.07, 7.77, 1000.1, 12.35, 99.99, 3.21, 0.31]
+    rows = [(i, day("2031-01-01"), -size * (1 + m % 7), f"m{m}", "c", "d", None, None) for m in range(60) for i, size in enumerate(sizes[: 2 + m % 11], 100 * m)]
+    df = spark.createDataFrame(rows, LEDGER)
+    sums = {}
+    for i, _, amount, merchant, *_ in rows:
+        sums.setdefault(merchant, []).append(abs(amount))
+    typical = {m: round(round(sum_of(x) / len(x) * 100) / 100, 2) for m, x in sums.items()}
+    for parts, order in ((1, "txn_id"), (7, "amount"), (3, F.desc("txn_id"))):
+        got = chunks.transaction_narratives(df.repartitionByRange(parts, order).sortWithinPartitions(order)).collect()
+        told = {(m, a) for r in got for m, a in re.findall(r"made to (m\d+),  which is (?:higher|lower) than the typical amount of €(\S+) ", r.text)}
+        assert told and all(a == f"{typical[m]:.2f}" for m, a in told)
+
+
+def sum_of(values):
+    """Added one after the other, as the builtin sum no longer does."""
+    total = 0.0
+    for v in values:
+        total += v
+    return total
+
+
 def test_chronology_and_numbers(spark):
     rows = [(i, day("2031-01-01") + datetime.timedelta(days=i // 2 - (9 if i in (40, 5000) else 0))) for i in range(0, 6000, 4)]
     df = spark.createDataFrame(rows, "txn_id long, date date")
