@@ -10,7 +10,9 @@ Documents are sets of word shingles, hashed to 64 bits. The join has five parts:
    components are done.
 4. A token-group matrix holds the union of each group's prefix tokens. Its equi-join with a document's prefix tokens
    names the groups outside the document's component that it could be linked with; the overlap with the group's union
-   bounds the overlap with every member, and only groups whose bound suffices are opened.
+   bounds the overlap with every member, and only groups whose bound suffices are opened. Before the join the tokens that
+   are left are counted, and each set leaves out as many of its most frequent ones as any link can spare. Tokens that
+   the same sets hold name the same groups, and stand in the matrix as one.
 5. An opened group's members are bounded one by one by their own prefixes, and those that pass are compared exactly, in
    the group's row: one link to a group is enough.
 
@@ -133,10 +135,9 @@ def _signatures(documents: DataFrame, k: int, seed: int) -> DataFrame:
 
 
 def _prefixes(documents: DataFrame, k: int, seed: int, percent: int, frequent: pd.DataFrame) -> DataFrame:
-    """token, salt, dg, x: the prefix tokens of each set, once a task for equal sets.
+    """token, salt, dg, n: the prefix tokens of each set, once a task for equal sets.
 
-    salt is 0, or for very frequent tokens the set's part (1 to HOT_PARTS). x packs n (the set's size, high 32 bits) and
-    rest (its tokens from this one on, itself too).
+    salt is 0, or for very frequent tokens the set's part (1 to HOT_PARTS). n is the set's size.
     """
     order = np.argsort(frequent["dg"].to_numpy(np.int64))
     shared = Shared(documents.sparkSession, (frequent["dg"].to_numpy(np.int64)[order], frequent["n"].to_numpy(np.int64)[order]))
@@ -146,7 +147,7 @@ def _prefixes(documents: DataFrame, k: int, seed: int, percent: int, frequent: p
         word_hash = _words(seed)
         seen = set()
         for batch in batches:
-            tokens, ids, packed, salts = [], [], [], []
+            tokens, ids, sizes, salts = [], [], [], []
             for text in batch["text"]:
                 s = shingles(text, word_hash, k)
                 dg = _digest(s, seed)[0]
@@ -166,11 +167,11 @@ def _prefixes(documents: DataFrame, k: int, seed: int, percent: int, frequent: p
                 tokens.append(s[:keep])
                 ids.append(np.full(keep, dg))
                 salts.append(np.where(weight[:keep] >= HOT_TOKEN, 1 + dg % HOT_PARTS, 0).astype(np.int8))
-                packed.append((size << 32) + np.arange(size, size - keep, -1))
+                sizes.append(np.full(keep, size, dtype=np.int32))
             if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "salt": np.concatenate(salts), "dg": np.concatenate(ids), "x": np.concatenate(packed)})
+                yield pd.DataFrame({"token": np.concatenate(tokens), "salt": np.concatenate(salts), "dg": np.concatenate(ids), "n": np.concatenate(sizes)})
 
-    return _rows(documents, run, "token long, salt byte, dg long, x long")
+    return _rows(documents, run, "token long, salt byte, dg long, n int")
 
 
 def least_shared(n: Column, m: Column, percent: int) -> tuple[Column, Column]:
@@ -184,6 +185,13 @@ def least_shared(n: Column, m: Column, percent: int) -> tuple[Column, Column]:
     return need - after(n), need - after(m)
 
 
+def _least_with_group(n: Column, percent: int) -> Column:
+    """What a set of n tokens shares at least with any member of a group (sizes least to most) that it is linked with."""
+    early, late = least_shared(n, F.col("least"), percent)[0], F.least(*(least_shared(n, F.col(x), percent)[1] for x in ("least", "most")))
+    # the second bound is linear in a member's size but for roundings, which sum up to less than 3
+    return F.greatest(F.lit(1), F.least(early, late - 3))
+
+
 def _sets(documents: DataFrame, wanted: DataFrame, k: int, seed: int) -> DataFrame:
     """rep, s: the sets of wanted (rep, the set's digest; first, its smallest doc_id), sorted hashes.
 
@@ -282,22 +290,22 @@ def _groups(documents: DataFrame, per_set: DataFrame, k: int, seed: int, percent
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """The rows (token, salt, c, ...) whose token occurs in several components."""
-    w = Window.partitionBy("token")
-    cold = rows.where("salt = 0").withColumn("_l", F.min("c").over(w)).withColumn("_h", F.max("c").over(w))
-    hot = rows.where("salt > 0").groupBy("token").agg(F.min("c").alias("_l"), F.max("c").alias("_h"))  # KNOWN_FREQUENT at most
+    """The rows (token, salt, c, ...) whose token occurs in several components, with f, h: number and hash of its sets."""
+    w, sets = Window.partitionBy("token"), F.bit_xor(F.xxhash64("rep"))
+    cold = rows.where("salt = 0").withColumn("_l", F.min("c").over(w)).withColumn("_h", F.max("c").over(w)).withColumn("f", F.count("*").over(w)).withColumn("h", sets.over(w))
+    hot = rows.where("salt > 0").groupBy("token").agg(F.min("c").alias("_l"), F.max("c").alias("_h"), F.count("*").alias("f"), sets.alias("h"))  # KNOWN_FREQUENT at most
     return cold.unionByName(rows.where("salt > 0").join(F.broadcast(hot), "token")).where("_l != _h").drop("_l", "_h")
 
 
 def _members(tokens: DataFrame, grouped: DataFrame) -> DataFrame:
-    """rep, n, c, part, t (token, rest): the sets that share enough prefix tokens with other components."""
+    """rep, n, c, part, t (f, token, h; rare ones first): the sets that share enough prefix tokens with other components."""
     needed = F.lit(1) + F.floor(F.col("n") / SHARE)
     w = Window.partitionBy("rep")
     enough = lambda df: df.withColumn("_x", F.count("*").over(w)).where(F.col("_x") >= needed).drop("_x")
     cells = enough(tokens.withColumnRenamed("dg", "rep").join(grouped, "rep", "left").withColumn("c", F.coalesce("c", "rep")))
     cells = stash(cells, "cells")
     shared = stash(_across(cells), "across")
-    members = enough(shared).groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.collect_list(F.struct("token", "rest")).alias("t"))
+    members = enough(shared).groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("f", "token", "h"))).alias("t"))
     members = stash(members, "members")
     sizes = members.groupBy("c").agg(F.count("*").alias("x"))
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("x") / GROUP)).cast("long")
@@ -307,16 +315,23 @@ def _members(tokens: DataFrame, grouped: DataFrame) -> DataFrame:
 
 
 def _asked(members: DataFrame, percent: int) -> DataFrame:
-    """rep, c, gc, gp: the groups of other components that share a token of the matrix with each set; written."""
-    cells = members.select("rep", "n", "c", "part", F.explode("t").alias("x")).select("rep", "n", "c", "part", "x.token", "x.rest")
-    # one token in common lies in the prefixes without their extra tokens
-    first = stash(cells.where(F.col("rest") >= F.ceil(percent * F.col("n") / F.lit(100))), "first")
-    matrix = first.groupBy("token", "c", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("left"))
-    matrix = stash(matrix.select("token", F.col("c").alias("gc"), F.col("part").alias("gp"), "least", "most", "left"), "matrix")
-    # sizes that can't link, and tokens that can't be the first common one of a link, go
+    """rep, c, gc, gp: the groups of other components that share a token of the matrix with each set; written.
+
+    A set of n tokens shares more than n // SHARE of its t with any set that it is linked with. All sets order their t
+    alike, so the rarest token that two linked sets share is in neither's last n // SHARE. Tokens of the same sets go by
+    their common hash h, at the place of the rarest of them; hashes that collide only ask more.
+    """
+    spared = F.floor(F.col("n") / SHARE).cast("int")
+    cells = members.select("rep", "n", "c", "part", F.size("t").alias("x"), F.posexplode(F.slice("t", F.lit(1), F.size("t") - spared)).alias("at", "y"))
+    # rest: the set's tokens from this one on, itself too
+    first = cells.groupBy("rep", "n", "c", "part", "y.h").agg(F.max(F.col("x") - F.col("at")).alias("rest"))
+    first = stash(first, "first")
+    matrix = first.groupBy("h", "c", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("left"))
+    matrix = stash(matrix.select("h", F.col("c").alias("gc"), F.col("part").alias("gp"), "least", "most", "left"), "matrix")
+    # sizes that can't link, and tokens that can't be the rarest common one of a link, go
     fits = (F.col("gc") < F.col("c")) & (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
-    fits &= (100 + percent) * F.least("rest", "left") >= percent * (F.col("n") + F.col("least"))
-    out = stash(dealt_join(first, matrix, "token").where(fits).select("rep", "c", "gc", "gp").distinct(), "asked")
+    fits &= F.least("rest", "left") >= _least_with_group(F.col("n"), percent)
+    out = stash(dealt_join(first, matrix, "h").where(fits).select("rep", "c", "gc", "gp").distinct(), "asked")
     release(first, matrix)
     return out
 
@@ -328,10 +343,7 @@ def _opened(asked: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     groups = own.groupBy(F.col("c").alias("gc"), F.col("part").alias("gp")).agg(F.min("n").alias("least"), F.max("n").alias("most"), inside.alias("inside"))
     groups = stash(groups.withColumn("union", F.array_distinct(F.flatten(F.transform("inside", lambda x: x["u"])))), "unions")
     queries = stash(dealt_join(asked, own.select("rep", "n", "t"), "rep"), "queries")
-    early, late = least_shared(n, F.col("least"), percent)[0], F.least(*(least_shared(n, F.col(x), percent)[1] for x in ("least", "most")))
-    # the second bound is linear in a member's size but for roundings, which sum up to less than 3
-    bound = F.greatest(F.lit(1), F.least(early, late - 3))
-    rows = dealt_join(queries, groups, ["gc", "gp"]).where(F.size(F.array_intersect("t", "union")) >= bound)
+    rows = dealt_join(queries, groups, ["gc", "gp"]).where(F.size(F.array_intersect("t", "union")) >= _least_with_group(n, percent))
 
     def near(x: Column) -> Column:
         alike = 100 * F.least(n, x["m"]) >= percent * F.greatest(n, x["m"])
@@ -389,9 +401,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     tokens = _prefixes(documents, k, seed, percent, frequent)
     w = Window.partitionBy("token", "salt")
     tokens = tokens.withColumn("_l", F.min("dg").over(w)).withColumn("_h", F.max("dg").over(w)).where("salt > 0 or _l != _h")
-    low = F.col("x").bitwiseAND(F.lit((1 << 32) - 1))
-    tokens = tokens.drop("_l", "_h").distinct().select("token", "salt", "dg", F.shiftright("x", 32).cast("int").alias("n"), low.cast("int").alias("rest"))
-    tokens = stash(tokens, "tokens")
+    tokens = stash(tokens.drop("_l", "_h").distinct(), "tokens")
     members = _members(tokens, grouped)
     release(tokens)
     asked = _asked(members, percent)

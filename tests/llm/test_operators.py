@@ -448,6 +448,18 @@ def test_jaccard_large_groups(spark):
     assert sum(r.x for r in got if r.component_id == 20_000) == 3000
 
 
+def test_jaccard_tokens_of_the_same_sets_ask_once(spark, monkeypatch):
+    """Unlinked texts that share a long passage are asked by one row each, not by one for each token in common."""
+    passage = " ".join(f"shared{i}" for i in range(250))
+    rows = [(i, passage + " " + " ".join(f"own{i}x{j}" for j in range(150))) for i in (1, 2)]
+    written, stash = {}, jaccard.stash
+    monkeypatch.setattr(jaccard, "stash", lambda df, name: written.setdefault(name, stash(df, name)) if name == "first" else stash(df, name))
+    monkeypatch.setattr(jaccard, "release", lambda *stashed: None)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2)]
+    assert written["first"].count() == 2
+
+
 def test_jaccard_random_families(spark):
     """Variants at all degrees of similarity, of short and long texts, against brute force."""
     rng = np.random.default_rng(11)
