@@ -326,6 +326,22 @@ def test_kneser_ney_by_brute_force(spark):
     assert dict(zip(grams_found["g"], grams_found["e"], strict=True))[" sc"] > 0
 
 
+def test_toxicity_of_one_new_character(spark):
+    """A text whose only new word is one character, alone or after others: shorter than the grams."""
+    from ledgerloom.llm.common import WordTable
+
+    grams, histories = [" x ", "x "], [" x", "x"]
+    keys = [np.sort(toxicity._hashes(g)) for g in (grams, histories)]
+    model = toxicity.ToxicityModel(5, keys[0], np.ones(2, np.float32), keys[1], np.zeros(2, np.float32), np.array([1.0, 0, 0, 0]))
+    one, many = toxicity.word_evidence(model), toxicity.word_evidence(model)
+    assert isinstance(one, WordTable) and next(one.rows(["x"])).tolist() == next(many.rows(["x", "known", "words"]))[:1].tolist() == [[1.0, 0.5]]
+    assert toxicity.features("known words x", one) == toxicity.features("known words x", many)
+    docs = spark.createDataFrame([(1, "x"), (2, "\u6f22 \u6f22"), (3, "known words"), (4, "known words \U0001f600"), (None, "7")], "doc_id long, text string").coalesce(1)
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert len(score) == 5 and score[1] > score[3] == score[4] == score[2]
+    assert toxicity.drop_toxic(docs, model, 0.51).count() == 4
+
+
 def test_toxicity_keeps_the_share_of_labels_under_the_cap(spark):
     """Texts that say nothing score about the share of toxic labels, whatever the cap on the sample is."""
     rng = np.random.default_rng(5)
